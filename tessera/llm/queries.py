@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, licenses, secrets, tokens, urls
+from tessera.llm import decontam, language, licenses, secrets, tokens, topk, toxicity, urls
 from tessera.llm.common import LOWER, UPPER, WORD_SQL, read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +22,25 @@ def model_bytes(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that language models must not learn from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    machines = language.fit(docs, F.col("text"), F.col("lang"), ~held_out(), F.col("doc_id"))
+    found = language.identify(docs, F.col("doc_id"), F.col("text"), machines)
+    return found.select(F.col("row_id").alias("doc_id"), F.coalesce(F.crc32(F.col("row_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, read(spark, sf_dir, "labels"), "doc_id", "text", {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    found = toxicity.score(docs, F.col("doc_id"), F.col("text"), chain)
+    return found.select(F.col("row_id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.least[-1]).alias("toxic"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     edges = urls.page_edges(pages, F.col("url"), F.col("html"))
@@ -37,6 +56,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
     base = F.filter("matches", lambda m: m["base"])
@@ -67,8 +90,11 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_toxicity": op2_toxicity,
         "op3_url_filter": op3_url_filter,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op6_top_k": op6_top_k,
         "op8_license_scan": op8_license_scan,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_count": op10_token_count,
