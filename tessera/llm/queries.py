@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, language, licenses, secrets, tokens, topk, toxicity, urls
+from tessera.llm import decontam, dedup, language, licenses, secrets, tokens, topk, toxicity, urls
 from tessera.llm.common import LOWER, UPPER, WORD_SQL, read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
     base = F.filter("matches", lambda m: m["base"])
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_top_k": op6_top_k,
+        "op7_near_dedup": op7_near_dedup,
         "op8_license_scan": op8_license_scan,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_count": op10_token_count,
