@@ -27,14 +27,17 @@ from tessera.llm.tokens import MARK, load
 #: Log-weight of a piece for each point of its score: ranks of some thousands part likely from unlikely pieces.
 ALPHA = 1 / 2000
 #: Characters walked together, and nodes of remembered lattices.
-GROUP, NODES = 500_000, 700_000
+GROUP, NODES = 500_000, 2_000_000
 #: Hypotheses this far, in log-mass, below a sibling are not drawn: their chance to matter is below 1e-25.
 FAR = 60.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HASH = np.uint64(0x100000001B3)
 #: Codes from here on stand for a character without a piece, by its code point.
 BARE = 1 << 24
+#: Pre-tokens by marks alone, and by marks and changes between letters and other characters.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
+LETTERS = "A-Za-zÀ-ɏ"
+LETTERED = re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{LETTERS}{MARK}]+|{MARK}+")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,8 +48,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, draw: int | np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), one for each key and draw."""
-    d = np.uint64(draw) if isinstance(draw, int) else draw.astype(np.uint64)
-    return ((mix(key + (d + np.uint64(1)) * _A) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    step = np.uint64((draw + 1) * int(_A) & (1 << 64) - 1) if isinstance(draw, int) else (draw.astype(np.uint64) + np.uint64(1)) * _A
+    return ((mix(key + step) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def row_key(row: object, seed: int) -> int:
@@ -66,6 +69,7 @@ class Vocabulary:
         self.bare = alpha * (lowest - 1)
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(self.size) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
+        self.ascii = np.array([self.byte.get(b, BARE + b) for b in range(128)], np.int64)
         found: dict[int, int] = {}
         self.bytes: list[bytes] = [b""] * self.size
         with np.errstate(over="ignore"):
@@ -83,24 +87,50 @@ class Vocabulary:
                     h = h * _HASH + np.uint64(ord(c) + 1)
                     found.setdefault(int(h), -1)
                 found[int(h)] = i
-        self.hashes = np.array(sorted(found), np.uint64)
-        self.piece = np.array([found[h] for h in sorted(found)], np.int64)
+        # prefixes by hash, in a table with linear probing
+        self.bits = 21
+        self.hashes, self.piece = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+        for h, i in found.items():
+            at = h * int(_A) % (1 << 64) >> 64 - self.bits
+            while self.hashes[at]:
+                at = (at + 1) % (1 << self.bits)
+            self.hashes[at], self.piece[at] = h, i
+        # texts may be cut where letters meet others only if no piece has both side by side, marks at its start aside
+        apart = all(len(LETTERED.findall(sp.id_to_piece(i))) == 1 for i in plain)
+        self.pattern = LETTERED if apart else MARKED
         self.longest = max((len(sp.id_to_piece(i)) for i in plain), default=1)
 
+    def prefix(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a piece's prefix, and its piece (-1 for none)."""
+        at = (h * _A >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.hashes[at]
+        off = np.flatnonzero((there != h) & (there != 0))
+        while len(off):
+            at[off] = (at[off] + 1) & (1 << self.bits) - 1
+            there[off] = self.hashes[at[off]]
+            off = off[(there[off] != h[off]) & (there[off] != 0)]
+        ok = there == h
+        return ok, np.where(ok, self.piece[at], -1)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library gives it: without the blank that encoding puts first."""
         raw = b"".join(map(self.bytes.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-    def spell(self, codes: np.ndarray) -> np.ndarray:
-        """Ids for codes: characters without a piece become their bytes' ids, or unknown where the model has none."""
-        out: list[int] = []
-        for c in codes.tolist():
-            if c < BARE:
-                out.append(c)
-            else:
-                out += [self.byte.get(b, self.unknown) for b in chr(c - BARE).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
-        return np.array(out, np.int32)
+    def spell(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for codes, and where each code's ids begin, and the end: characters without a piece become their
+        bytes' ids, or unknown where the model has none."""
+        bare = np.flatnonzero(codes >= BARE)
+        spelled = [[self.byte.get(b, self.unknown) for b in chr(c - BARE).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown] for c in codes[bare].tolist()]
+        width = np.ones(len(codes), np.int64)
+        width[bare] = [len(x) for x in spelled]
+        past = np.concatenate(([0], np.cumsum(width)))
+        out = np.empty(past[-1], np.int32)
+        plain = codes < BARE
+        out[past[:-1][plain]] = codes[plain]
+        for i, x in zip(bare.tolist(), spelled):
+            out[past[i] : past[i + 1]] = x
+        return out, past
 
 
 class Lattices(dict):
@@ -116,10 +146,20 @@ class Lattices(dict):
     def empty(self) -> None:
         self.clear()
         self.fresh = []
-        self.start = self.end = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.source = self.code = np.zeros(0, np.int32)
-        self.cum = self.logp = self.rest = np.zeros(0)
+        self.start, self.end, self.first = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64)
+        self.source, self.code = np.zeros(1 << 19, np.int32), np.zeros(1 << 19, np.int32)
+        self.cum, self.rest, self.logp = np.zeros(1 << 19, np.float32), np.zeros(1 << 19, np.float32), np.zeros(1 << 19)
+        self.nodes = self.edges = 0
+
+    def put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Store values from a place on; room is doubled when it runs out."""
+        room = getattr(self, name)
+        if at + len(values) > len(room):
+            wide = np.zeros(max(2 * len(room), at + len(values)), room.dtype)
+            wide[:at] = room[:at]
+            setattr(self, name, wide)
+            room = wide
+        room[at : at + len(values)] = values
 
     def __missing__(self, token: str) -> int:
         n = self[token] = len(self)
@@ -127,12 +167,12 @@ class Lattices(dict):
         return n
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
-        """Numbers of pre-tokens, those not seen yet being built. A token starts with its marks, but for a single one."""
-        if len(self.first) > NODES:
+        """Numbers of pre-tokens, those not seen yet being built."""
+        if self.nodes > NODES:
             self.empty()
         out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if self.fresh:
-            self.build([t if t.startswith(MARK * 2) else MARK + t for t in self.fresh])
+            self.build(self.fresh)
             self.fresh = []
         return out
 
@@ -150,15 +190,13 @@ class Lattices(dict):
             inside = at + n <= stop[at]
             at, h = at[inside], h[inside]
             h = h * _HASH + (chars[at + n - 1] + 1).astype(np.uint64)
-            place = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            ok = v.hashes[place] == h
-            piece = np.where(ok, v.piece[place], -1)
+            ok, piece = v.prefix(h)
             has = piece >= 0
             parts.append((at[has], n, piece[has], v.weight[piece[has]]))
             if n == 1:
                 none = at[~has]
                 wide = 1 + (chars[none] > 0x7F) + (chars[none] > 0x7FF) + (chars[none] > 0xFFFF)
-                parts.append((none, 1, BARE + chars[none], v.bare * wide))
+                parts.append((none, 1, np.where(wide == 1, v.ascii[np.minimum(chars[none], 127)], BARE + chars[none]), v.bare * wide))
             at, h = at[ok], h[ok]
             if not len(at):
                 break
@@ -194,12 +232,14 @@ class Lattices(dict):
         cum[first[1:][count > 0] - 1] = 2.0
         with np.errstate(divide="ignore"):
             rest = np.where(count[target] == 1, -np.inf, np.log(np.maximum(1 - p, 1e-300)))
-        base, skip = len(self.first) - 1, len(self.source)
-        starts = stops - sizes + np.arange(len(tokens)) + base
-        self.start, self.end = np.append(self.start, starts), np.append(self.end, starts + sizes)
-        self.first = np.append(self.first, first[1:] + skip)
-        self.source, self.code = np.append(self.source, (source + base).astype(np.int32)), np.append(self.code, code.astype(np.int32))
-        self.cum, self.logp, self.rest = np.append(self.cum, cum), np.append(self.logp, logp), np.append(self.rest, rest)
+        starts = stops - sizes + np.arange(len(tokens)) + self.nodes
+        done = len(self) - len(tokens)
+        self.put("start", done, starts)
+        self.put("end", done, starts + sizes)
+        self.put("first", self.nodes + 1, first[1:] + self.edges)
+        for name, values in (("source", source + self.nodes), ("code", code), ("cum", cum), ("logp", logp), ("rest", rest)):
+            self.put(name, self.edges, values)
+        self.nodes, self.edges = self.nodes + n_nodes, self.edges + len(source)
 
 
 def copied(into: np.ndarray, to: np.ndarray, out_of: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
@@ -358,13 +398,9 @@ def sample(lat: Lattices, kind: np.ndarray, text: np.ndarray, first: np.ndarray,
     return rounds, there, score, last
 
 
-def pretokens(text: str) -> list[str]:
-    """Pre-tokens, those with a single mark without it."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return [t if t.startswith(MARK * 2) else t[1:] for t in MARKED.findall(MARK + text.replace(" ", MARK))]
-    return text.split(" ")
+def pretokens(text: str, pattern: re.Pattern) -> list[str]:
+    """The parts of a marked text that no piece joins."""
+    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 SAMPLED = pa.schema([("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
@@ -372,7 +408,7 @@ SAMPLED = pa.schema([("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("lo
 
 def sample_texts(vocabulary: Vocabulary, lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> tuple[np.ndarray, pa.Table]:
     """For each text and sample: the text's index, and the columns of ``SAMPLED``."""
-    tokens = [pretokens(t) for t in texts]
+    tokens = [pretokens(t, vocabulary.pattern) for t in texts]
     counts = np.array([len(t) for t in tokens])
     first = np.concatenate(([0], np.cumsum(counts)))
     kind = lat.numbers([w for t in tokens for w in t])
@@ -384,9 +420,8 @@ def sample_texts(vocabulary: Vocabulary, lat: Lattices, texts: list[str], keys:
         total = np.concatenate(([0.0], np.cumsum(done.logp)))[first]
         codes, ends = done.codes, past
         if (codes >= BARE).any():
-            spelled = [vocabulary.spell(codes[a:b]) if (codes[a:b] >= BARE).any() else codes[a:b] for a, b in zip(past[:-1], past[1:])]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in spelled])))
-            codes = np.concatenate(spelled)
+            codes, begin = vocabulary.spell(codes)
+            ends = begin[past]
         values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))
         lists.append(values if len(who) == len(texts) else values.take(pa.array(who)))
         index.append(who)
