@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, words_of
 
-SCHEMA = "row_id {id}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+SCHEMA = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Automata are built from so many bytes of item text at a time; a node costs some 60 bytes.
 BLOCK_BYTES = 1 << 19
@@ -99,27 +99,25 @@ def blocks_of(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     yield block
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, row_id: Column, text: Column, item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """One row for each row of ``docs``: ``row_id``, ``n_words``, ``n_hit``, ``item_ids``, ``spans``.
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    A document word is hit if it lies in an occurrence of an item window. ``item_ids`` are the distinct ids, as
-    sorted strings, of items with an occurring window; ``spans`` are runs of hit words in the original text.
-    Null and empty texts, and texts without a word, have no words and no hits. Items with a null id or text, or
-    without words, match nothing; repeated items count once; repeated documents each get their row. Columns of
-    ``docs`` other than the two given are not read, whatever their names.
+
+def hits_in(benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text", window: int = 10) -> Column:
+    """A struct for each text, as ``find_benchmark`` tells. Only the text leaves the JVM.
 
     The items are sent to executors in blocks of ``BLOCK_BYTES``. One block, the usual case, is one automaton,
     built once per task. More blocks are scanned one after another, so memory stays bounded at any size.
     """
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     ship(spark)
     item = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     sent = [spark.sparkContext.broadcast(b) for b in blocks_of(item)]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(SCHEMA)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = automaton_of(sent[0].value, window) if len(sent) == 1 else None
         for batch in batches:
-            raws = batch.column(1).cast(pa.binary()).to_pylist()
+            raws = batch.cast(pa.binary()).to_pylist()
             if kept is not None:
                 rows = [scan_text(raw, [kept]) for raw in raws]
             else:
@@ -129,13 +127,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, row_id: Column, text:
                     parts.append([scan_text(raw, [auto])[2:] for raw in raws])
                 rows = [merged(raw, [p[i] for p in parts]) for i, raw in enumerate(raws)]
             n, h, i, s = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(i, pa.list_(pa.string())), pa.array(s, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["row_id", "n_words", "n_hit", "item_ids", "spans"],
-            )
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(i, pa.list_(pa.string())), pa.array(s, SPANS)], ["n_words", "n_hit", "item_ids", "spans"])
+
+    return scan(text)
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, row_id: Column, text: Column, item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """One row for each row of ``docs``: ``row_id``, ``n_words``, ``n_hit``, ``item_ids``, ``spans``.
+
+    A document word is hit if it lies in an occurrence of an item window. ``item_ids`` are the distinct ids, as
+    sorted strings, of items with an occurring window; ``spans`` are runs of hit words in the original text.
+    Null and empty texts, and texts without a word, have no words and no hits. Items with a null id or text, or
+    without words, match nothing; repeated items count once; repeated documents each get their row. Columns of
+    ``docs`` other than the two given are not read, whatever their names.
+    """
+    return docs.select(row_id.alias("row_id"), hits_in(benchmark, text, item_id, item_text, window).alias("found")).select("row_id", "found.*")
+
 
-    given = docs.select(row_id.alias("row_id"), text.alias("text"))
-    return given.mapInArrow(scan, SCHEMA.format(id=given.schema["row_id"].dataType.simpleString()))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: Column) -> DataFrame:
+    """Rows of ``docs``, columns unchanged, without a word in a benchmark window."""
+    return docs.select(F.struct("*").alias("row"), hits_in(benchmark, text).alias("found")).where("found.n_hit = 0").select("row.*")
 
 
 def merged(raw: bytes | None, parts: list[tuple[list[str], list[dict]]]) -> tuple[int, int, list[str], list[dict]]:

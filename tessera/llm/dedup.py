@@ -247,3 +247,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         size *= 4
     found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return found.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, columns unchanged, one of each class of near-duplicates: that of the least id. Rows with a
+    null id all stay; of rows that repeat the least id one stays."""
+    kept = near_duplicates(docs, doc_id, text).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    known = docs.join(kept, F.col(doc_id) == F.col("__id"))
+    once = known.where("__n = 1").select(docs.columns)
+    again = known.where("__n > 1").select(docs.columns).dropDuplicates([doc_id])
+    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))

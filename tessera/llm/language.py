@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship
@@ -185,29 +185,39 @@ def fit(docs: DataFrame, text: Column, language: Column, learn: Column, order: C
     return Machines(families, members, pairs, np.stack(columns, 1).astype(np.float32))
 
 
-def identify(docs: DataFrame, row_id: Column, text: Column, machines: Machines | None, *more: str) -> DataFrame:
-    """One row for each row of ``docs``: ``row_id``, ``language``, ``score`` (0 to 1: the family's probability times
-    the mean probability of the language against its relatives), and the columns named in ``more``, unchanged.
-
-    Null texts, and texts without a letter, are ``und`` with score 0, as are all if nothing could be learned. Ties go
-    to the language first in the alphabet. Texts of any length are read whole, in pieces; repeated rows each get
-    their row; empty tables give no rows.
-    """
-    spark = docs.sparkSession
+def language_of(spark: SparkSession, machines: Machines | None, text: Column) -> Column:
+    """A struct of ``language`` and ``score`` for each text, as ``identify`` tells. Only the text leaves the JVM."""
     ship(spark)
     sent = spark.sparkContext.broadcast(machines)
-    given = docs.select(row_id.alias("row_id"), text.alias("__text"), *more)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<language:string,score:double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.to_pylist()
             there = [i for i, t in enumerate(texts) if t and model is not None and LETTER.search(t)]
             language, score = ["und"] * len(texts), [0.0] * len(texts)
             if there:
                 for i, (code, p) in zip(there, model.decide(margins_of([texts[i] for i in there], model.weights))):
                     language[i], score[i] = code, p
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], ["row_id", "language", "score", *more])
+            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(score, pa.float64())], ["language", "score"])
+
+    return predict(text)
+
+
+def identify(docs: DataFrame, row_id: Column, text: Column, machines: Machines | None) -> DataFrame:
+    """One row for each row of ``docs``: ``row_id``, ``language``, ``score`` (0 to 1: the family's probability times
+    the mean probability of the language against its relatives).
+
+    Null texts, and texts without a letter, are ``und`` with score 0, as are all if nothing could be learned. Ties go
+    to the language first in the alphabet. Texts of any length are read whole, in pieces; repeated rows each get
+    their row; empty tables give no rows; other columns aren't read.
+    """
+    found = docs.select(row_id.alias("row_id"), language_of(docs.sparkSession, machines, text).alias("found"))
+    return found.select("row_id", "found.language", "found.score")
+
 
-    kind = lambda c: given.schema[c].dataType.simpleString()
-    return given.mapInArrow(scan, ", ".join([f"row_id {kind('row_id')}", "language string", "score double", *[f"`{c}` {kind(c)}" for c in more]]))
+def keep_known(docs: DataFrame, text: Column, machines: Machines | None, least: float = 0.25) -> DataFrame:
+    """Rows of ``docs``, columns unchanged, whose text is in a language: not ``und``, and of score ``least`` or more."""
+    found = docs.select(F.struct("*").alias("row"), language_of(docs.sparkSession, machines, text).alias("found"))
+    return found.where((F.col("found.language") != "und") & (F.col("found.score") >= least)).select("row.*")

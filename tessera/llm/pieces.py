@@ -403,7 +403,7 @@ def pretokens(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-SAMPLED = pa.schema([("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
+SAMPLED = pa.schema([("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
 
 
 def sample_texts(vocabulary: Vocabulary, lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> tuple[np.ndarray, pa.Table]:
@@ -430,7 +430,8 @@ def sample_texts(vocabulary: Vocabulary, lat: Lattices, texts: list[str], keys:
         log.append(lp)
         perturbed.append(score[r][who])
         with np.errstate(divide="ignore", over="ignore"):
-            included.append(np.where(np.isneginf(last[who]), 1.0, -np.expm1(-np.exp(np.minimum(lp - last[who], 700)))))
+            x = np.where(np.isneginf(last[who]), 0.0, lp - last[who])
+            included.append(np.where(np.isneginf(last[who]), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 30)))))))
     return np.concatenate(index), pa.table([pa.array(np.concatenate(number), pa.int32()), pa.chunked_array(lists, pa.list_(pa.int32())), *[pa.array(np.concatenate(x)) for x in (log, perturbed, included)]], schema=SAMPLED)
 
 
@@ -448,8 +449,8 @@ def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def sample_pieces(docs: DataFrame, row_id: Column, text: Column, model: bytes, k: int = 2, seed: int = 0) -> DataFrame:
     """Up to ``k`` rows for each row of ``docs``: ``row_id``, ``sample`` (from 1, by falling perturbed score), ``ids``,
-    ``log_prob``, ``perturbed`` and ``inclusion`` (the segmentation's probability to be among the k, given the next
-    score; 1 if there is no further segmentation).
+    ``log_prob``, ``perturbed`` and ``log_inclusion`` (log of the segmentation's probability to be among the k, given
+    the next score; 0 if there is no further segmentation).
 
     Segmentations of a text are distinct and decode to it. A text with fewer than ``k`` has as many rows as it has.
     Null and empty texts have one segmentation, the empty one. Rows with the same id and text get the same samples;
@@ -472,7 +473,7 @@ def sample_pieces(docs: DataFrame, row_id: Column, text: Column, model: bytes, k
                 rows = pa.table([batch.column(0).take(pa.array(index + lo)), *found.columns], names=["row_id", *SAMPLED.names])
                 yield from rows.combine_chunks().to_batches()
 
-    return given.mapInArrow(scan, f"row_id {given.schema['row_id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return given.mapInArrow(scan, f"row_id {given.schema['row_id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 
 
 def encode(docs: DataFrame, row_id: Column, text: Column, model: bytes) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, language, licenses, secrets, tokens, topk, toxicity, urls
+from tessera.llm import decontam, dedup, language, licenses, pieces, secrets, tokens, topk, toxicity, urls
 from tessera.llm.common import LOWER, UPPER, WORD_SQL, read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -56,6 +56,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.sample_pieces(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), model_bytes())
+    return found.select(F.col("row_id").alias("doc_id"), "sample", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0, 10)
 
@@ -98,13 +103,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_url_filter": op3_url_filter,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_top_k": op6_top_k,
         "op7_near_dedup": op7_near_dedup,
         "op8_license_scan": op8_license_scan,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_count": op10_token_count,
+        "pipeline": pipeline,
     }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def oracle_sql() -> dict[str, str]:
     return {}

@@ -73,7 +73,7 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
 
 
 def scan_secrets(docs: DataFrame, row_id: Column, text: Column, repository: Column, owner: Column, copied_by: int = COPIED_BY, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """One row for each row of ``docs``: ``row_id`` and ``spans``, by start and then kind: kind, start, end (code
+    """One row for each row of ``docs``: ``row_id``, ``body`` (hash of the text) and ``spans``, by start and then kind: kind, start, end (code
     points of the whole match, end exclusive), vstart, vend (of the secret itself), n_docs, n_repos, n_owners (of its
     value over the corpus) and class: ``example`` (``copied_by`` owners or more), ``live`` (fewer, and random-looking)
     or ``plain``. Base kinds always stay; spans of other kinds stay unless their value is an example.
@@ -101,10 +101,10 @@ def scan_secrets(docs: DataFrame, row_id: Column, text: Column, repository: Colu
         ).alias("span"))
         .groupBy("row_id", "body").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     )
-    with_spans = found.where("size(spans) > 0").select("row_id", "body").alias("f").join(judged.alias("j"), F.expr("f.row_id <=> j.row_id and f.body = j.body"), "left").select("f.row_id", F.coalesce("j.spans", F.expr("filter(j.spans, x -> false)")).alias("spans"))
+    with_spans = found.where("size(spans) > 0").select("row_id", "body").alias("f").join(judged.alias("j"), F.expr("f.row_id <=> j.row_id and f.body = j.body"), "left").select("f.row_id", "f.body", F.coalesce("j.spans", F.expr("filter(j.spans, x -> false)")).alias("spans"))
     kind_of = with_spans.schema["spans"].dataType.simpleString()
     none = F.expr(f"cast(array() as {kind_of})")
-    return with_spans.select("row_id", F.coalesce("spans", none).alias("spans")).unionByName(found.where("size(spans) = 0").select("row_id", none.alias("spans")))
+    return with_spans.select("row_id", "body", F.coalesce("spans", none).alias("spans")).unionByName(found.where("size(spans) = 0").select("row_id", "body", none.alias("spans")))
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
@@ -119,3 +119,18 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     return F.when(F.size(live) == 0, text).otherwise(
         F.aggregate(live, F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.length(text))))
     )
+
+
+def redact_secrets(docs: DataFrame, doc_id: str, text: str, repository: str, owner: str, length: str | None = None) -> DataFrame:
+    """``docs``, rows and columns unchanged but for live secrets in ``text``, which are redacted, and ``length``, if
+    given, which is that text's. Rows without a live secret stay as they are, null texts too."""
+    found = scan_secrets(docs, F.col(doc_id), F.col(text), F.col(repository), F.col(owner))
+    live = found.where(F.exists("spans", lambda s: s["class"] == "live")).select(F.col("row_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__body"])
+    joined = docs.join(live, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__body")), "left")
+    changed = F.col("__body").isNotNull()
+    new = F.when(changed, redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], changed.alias("__changed"))
+    if length is not None:
+        kind = docs.schema[length].dataType
+        out = out.withColumn(length, F.when(F.col("__changed"), F.length(text).cast(kind)).otherwise(F.col(length)))
+    return out.drop("__changed")
