@@ -38,11 +38,12 @@ class Node:
     children: list["Node"]
 
 
-def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
+def cover_tree(points: np.ndarray, leaf: int = LEAF, most: float = 1 / 8) -> tuple[Node, np.ndarray]:
     """A cover tree, by levels of shrinking covering radius, and the order of its rows.
 
     A node's centre is one of its points; its children's centres are chosen greedily further than the next radius
-    apart, the node's own centre first, and each point goes to the first centre within that radius.
+    apart, the node's own centre first, and each point goes to the first centre within that radius. A node whose
+    children would be more than a share ``most`` of its points has no cover to speak of and stays one scanned node.
     """
     order = np.arange(len(points))
 
@@ -52,7 +53,7 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
         away = np.sqrt(((points[own] - centre) ** 2).sum(1))
         radius = float(away.max())
         node = Node(centre, float(np.sqrt((centre**2).sum())), radius, lo, hi, [])
-        if hi - lo <= LEAF or radius == 0:
+        if hi - lo <= leaf or radius == 0:
             return node
         inner = radius / RATIO
         parts, left, near = [], own, away <= inner
@@ -62,11 +63,8 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
             if not len(left):
                 break
             near = ((points[left] - points[left[0]]) ** 2).sum(1) <= inner * inner
-            if len(parts) > len(own) // 8:  # no cover to speak of: the rest stays one scanned node
-                parts.append(left)
-                break
-        if len(parts) > len(own) // 8:
-            return node
+            if len(parts) > len(own) * most:
+                return node
         at = lo
         for p in parts:
             order[at : at + len(p)] = p
@@ -80,6 +78,11 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
     return build(0, len(points)), order
 
 
+def query_tree(queries: np.ndarray) -> tuple[Node, np.ndarray]:
+    """A tree of small query groups: a group's radius loosens every bound, so it is kept small."""
+    return cover_tree(queries, 4, 1 / 2)
+
+
 class Best:
     """The k best of each query: scores descending, ties to the smaller id."""
 
@@ -189,10 +192,10 @@ def top_k(vectors: DataFrame, vec_id: Column, vector: Column, is_query: Column,
                 listed = [r for b in held for r in b.column(1).to_pylist()]
                 width = max(qwidth, max(map(len, listed)))
                 q = as_matrix(qrows, width)
-                qtree = qtree or cover_tree(q)
+                qtree = qtree or query_tree(q)
                 x = as_matrix(listed, width)
                 if qtree[0].centre.shape[0] != width:
-                    qtree = cover_tree(q)
+                    qtree = query_tree(q)
                 best, _ = dual_search(q, qids, qtree, x, ids, k)
                 there = best.id != np.iinfo(np.int64).max
                 who = np.repeat(qids[qtree[1]][:, None], k, 1)
