@@ -32,6 +32,8 @@ GROUP, NODES = 500_000, 2_000_000
 FAR = 60.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HASH = np.uint64(0x100000001B3)
+#: Words' log-probabilities are multiples of 1 / GRID, so that their sums are exact and the same in any grouping.
+GRID = 2.0**30
 #: Codes from here on stand for a character without a piece, by its code point.
 BARE = 1 << 24
 #: Pre-tokens by marks alone, and by marks and changes between letters and other characters.
@@ -227,8 +229,10 @@ class Lattices(dict):
         count = np.bincount(target, minlength=n_nodes)
         first = np.concatenate(([0], np.cumsum(count)))
         p = np.exp(logp)
-        run = np.cumsum(p)
-        cum = run - np.concatenate(([0.0], run))[first[target]]
+        cum, place = p.copy(), np.arange(len(p)) - first[target]
+        for n in range(1, int(count.max(initial=0))):  # node by node, so that no other token's rounding enters
+            at = np.flatnonzero(place == n)
+            cum[at] += cum[at - 1]
         cum[first[1:][count > 0] - 1] = 2.0
         with np.errstate(divide="ignore"):
             rest = np.where(count[target] == 1, -np.inf, np.log(np.maximum(1 - p, 1e-300)))
@@ -242,6 +246,18 @@ class Lattices(dict):
         self.nodes, self.edges = self.nodes + n_nodes, self.edges + len(source)
 
 
+_kept: dict[int, Lattices] = {}
+
+
+def lattices_of(model: bytes) -> Lattices:
+    """A worker's lattices for a model: tasks that follow one another in a worker go on with them."""
+    h = xxhash.xxh3_64_intdigest(model)
+    if h not in _kept:
+        _kept.clear()
+        _kept[h] = Lattices(Vocabulary(model))
+    return _kept[h]
+
+
 def copied(into: np.ndarray, to: np.ndarray, out_of: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
     """Copy runs: ``count`` values from ``start`` of ``out_of`` to ``to`` of ``into``."""
     if len(count):
@@ -304,7 +320,7 @@ def sample(lat: Lattices, kind: np.ndarray, text: np.ndarray, first: np.ndarray,
             deep[live] += 1
             at[live] = lat.source[e]
             live, s = live[at[live] != stop[live]], s + 1
-        new.count[todo], new.logp[todo] = deep[todo], run[todo]
+        new.count[todo], new.logp[todo] = deep[todo], np.round(run[todo] * GRID) / GRID + 0.0
         kept = []
         if popped is not None:
             # what the parents have fixed: words after the one that was reopened, and that word's right part
@@ -463,8 +479,8 @@ def sample_pieces(docs: DataFrame, row_id: Column, text: Column, model: bytes, k
     given = docs.select(row_id.alias("row_id"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
-        lat = Lattices(vocabulary)
+        lat = lattices_of(sent.value)
+        vocabulary = lat.vocabulary
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = np.array([row_key(i, seed) for i in batch.column(0).to_pylist()], np.uint64)
@@ -499,7 +515,7 @@ def decode(rows: DataFrame, row_id: Column, ids: Column, model: bytes) -> DataFr
     given = rows.select(row_id.alias("row_id"), ids.cast("array<int>").alias("ids"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = lattices_of(sent.value).vocabulary
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else vocabulary.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["row_id", "text"])
 
