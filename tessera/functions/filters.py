@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -26,6 +28,31 @@ ALIASES = {"double": 1, "string": 2, "object": 3, "array": 4, "binData": 5, "und
 GEO = ("$geoWithin", "$geoIntersects")
 NEAR = ("$near", "$nearSphere")
 
+#: Whether a condition may be null for false. Where no negation lies above, it may, and the scan can then prune by it.
+_LOOSE: ContextVar[bool] = ContextVar("loose", default=False)
+
+
+@contextmanager
+def _null_is_false(allowed: bool) -> Iterator[None]:
+    token = _LOOSE.set(allowed)
+    try:
+        yield
+    finally:
+        _LOOSE.reset(token)
+
+
+def where_filter(spec: object, root: Value) -> Column:
+    """``compile_filter`` for a WHERE, which takes null for false: comparisons stay bare, so that they reach the scan."""
+    with _null_is_false(True):
+        return compile_filter(spec, root)
+
+
+def _never(build: Callable[[], Column]) -> Column:
+    """The negation of a condition that is then never null."""
+    with _null_is_false(False):
+        return ~build()
+
+
 def compile_filter(spec: object, root: Value) -> Column:
     """All of a filter document's conditions hold. An empty document holds for every row."""
     if not isinstance(spec, dict):
@@ -55,11 +82,15 @@ def logical(op: str, arg: object, build: Callable[[object], Column]) -> Column:
         raise bad("$and/$or/$nor must be a nonempty array")
     if not all(isinstance(x, dict) for x in arg):
         raise bad("$or/$and/$nor entries need to be full objects")
-    parts = [build(x) for x in arg]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if op == "$and" else out | p
-    return ~out if op == "$nor" else out
+
+    def joined() -> Column:
+        parts = [build(x) for x in arg]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if op == "$and" else out | p
+        return out
+
+    return _never(joined) if op == "$nor" else joined()
 
 def is_operators(arg: object) -> bool:
     return isinstance(arg, dict) and bool(arg) and next(iter(arg)).startswith("$")
@@ -84,12 +115,11 @@ def _condition(op: str, x: object, path: list[str], root: Value) -> Column:
     if op == "$ne":
         if isinstance(x, Regex):
             raise bad("Can't have regex as arg to $ne.")
-        return ~any_of(equals(x))
+        return _never(lambda: any_of(equals(x)))
     if op in ("$gt", "$gte", "$lt", "$lte"):
         return any_of(ordered(op, x))
     if op in ("$in", "$nin"):
-        found = any_of(among(op, x))
-        return found if op == "$in" else ~found
+        return any_of(among(op, x)) if op == "$in" else _never(lambda: any_of(among(op, x)))
     if op == "$exists":
         there = any_of(lambda v: F.lit(False) if v.missing else v.col.isNotNull())
         return there if x not in (False, 0, None) else ~there
@@ -103,14 +133,14 @@ def _condition(op: str, x: object, path: list[str], root: Value) -> Column:
         return any_of(regex(x))
     if op == "$not":
         if isinstance(x, Regex):
-            return ~any_of(regex(x))
+            return _never(lambda: any_of(regex(x)))
         if not isinstance(x, dict):
             raise bad("$not needs a regex or a document")
         if not x:
             raise bad("$not cannot be empty")
         if not is_operators(x):
             raise bad("$not needs a regex or a document")
-        return ~field_condition(path, x, root)
+        return _never(lambda: field_condition(path, x, root))
     if op == "$all":
         return _all(x, path, root)
     if op == "$elemMatch":
@@ -141,7 +171,7 @@ def spread(test: Callable[[Value], Column]) -> Callable[[Value], Column]:
     return both
 
 def _false(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+    return c if _LOOSE.get() else F.coalesce(c, F.lit(False))
 
 def equals(x: object) -> Callable[[Value], Column]:
     def test(v: Value) -> Column:
@@ -423,7 +453,7 @@ def _element(ops: dict, at: Value) -> Column:
         if op == "$not" and isinstance(x, dict):
             if not x:
                 raise bad("$not cannot be empty")
-            out = out & ~_element(x, at)
+            out = out & _never(lambda x=x: _element(x, at))
         else:
             out = out & _condition(op, x, [], at)
     return out

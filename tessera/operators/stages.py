@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import bad
 from tessera.functions.expressions import Removed, compile_expr
-from tessera.functions.filters import compile_filter
+from tessera.functions.filters import where_filter
 from tessera.functions.values import INTEGERS, Root, Value, child, class_of, is_float, plain_path
 from tessera.plans.stages import is_flag
 
@@ -72,7 +72,7 @@ def select(f: Frame, columns: dict[str, Column]) -> Frame:
 
 
 def match(f: Frame, spec: dict) -> Frame:
-    return f.but(df=f.df.where(compile_filter(spec, f.root)))
+    return f.but(df=f.df.where(where_filter(spec, f.root)))
 
 
 # ---- sort, limit, skip

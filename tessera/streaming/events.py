@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import ejson
-from tessera.functions.filters import compile_filter
+from tessera.functions.filters import where_filter
 from tessera.functions.values import Root
 
 
@@ -18,7 +18,7 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 def where(stream: DataFrame, filter: object) -> DataFrame:
     """The events that meet a filter document."""
-    return stream.where(compile_filter(ejson.parse(filter), Root(stream.schema)))
+    return stream.where(where_filter(ejson.parse(filter), Root(stream.schema)))
 
 
 def windowed(stream: DataFrame, every: str, late: str, by: list[str], slide: str | None = None) -> DataFrame:
