@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,8 @@ WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+T = TypeVar("T")
+
 _written: list[tuple[object, str]] = []
 
 
@@ -31,6 +35,18 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+_remembered: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing, the last asked for, so that operators that follow one
+    another in a worker don't add up their memories."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +67,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task takes where rows are small.
+TASK_ROWS = 50_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for so many small rows. Few rows need one task, which then groups and joins them without a shuffle; in
+    hundreds of tasks they would only make hundreds of empty files."""
+    return rows // TASK_ROWS + 1
+
+
+def packed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` settled, in as many partitions as its rows call for, and their number."""
+    df = settle(df, name)
+    n = df.count()
+    return df.coalesce(tasks_for(n)), n
+
+
 def _forget() -> None:
     """Remove this session's settled tables, if the session still lives."""
     for spark, path in _written:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle, ship, words_of
+from tessera.llm.common import packed, remembered, settle, ship, words_of
 from tessera.llm.graph import components
 
 WORDS, SKETCHES, KEPT, SIMILAR = 5, 16, 2, 0.8
@@ -25,6 +25,12 @@ _RNG = np.random.default_rng(20240229)
 _STEP = _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _RNG.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
+#: Members of a sketch, outside its largest class, that face all others at once; ids that are sent rather than dealt.
+MINORS, FEW = 12, 50_000
+#: Pairs that one task aligns, where few are.
+ALIGNED = 500
+#: How far apart two sketches are that refine one another, and how many do together.
+GAP, DEEPEST = 3, 5
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -162,7 +168,7 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     given = docs.select(doc_id.alias("doc_id"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known = remembered("word hashes", WordHash)
         for batch in batches:
             content, keys = [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
@@ -179,11 +185,18 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     return given.mapInArrow(scan, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, content binary, keys array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``."""
+def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Of ``n`` ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = texts.join(wanted, "id", "left_semi")
+    if 2 * n <= FEW:
+        # so few ids that sending them to the texts is cheaper than dealing the texts by id
+        own = packed(texts.join(F.broadcast(wanted), "id", "left_semi"), "texts")[0]
+        spread = lambda df: df.repartition(n // ALIGNED + 1)
+    else:
+        own = texts.join(wanted, "id", "left_semi")
+        spread = lambda df: df
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = spread(both)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, words = None, []
@@ -202,51 +215,114 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Data
     return both.mapInArrow(align, f"a {kind}, b {kind}, similarity double")
 
 
+class _Classes:
+    """Links found so far, as the stars of their components, and the pairs already aligned."""
+
+    def __init__(self, links: DataFrame, texts: DataFrame, least: float):
+        self.texts, self.least, self.tried = texts, least, None
+        self.stars = components(links, "a", "b")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``c``, the component of ``rep``."""
+        return rows.join(self.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*rows.columns, F.coalesce("component", "rep").alias("c"))
+
+    def face(self, pairs: DataFrame) -> None:
+        """Align pairs (``a``, ``b``) not aligned before, and link those that pass."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs, n = packed(pairs, "pairs")
+        if not n:
+            return
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        new, n = packed(verified(pairs, n, self.texts, self.least).select("a", "b"), "links")
+        if n:
+            self.stars = components(self.stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), "a", "b")
+
+
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``key`` more than one ``rep`` has."""
+    keys = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    return packed(rows.join(keys, "key", "left_semi"), name)[0]
+
+
+def _mixed(named: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of keys with several classes: with ``main`` (of the key's largest class), ``minors`` (how many are not), and
+    ``a``, ``ca``: the key's least id and its class."""
+    held = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("classes"), F.min(F.struct("r", "c")).alias("l"))
+    held = held.where("classes > 1").select("key", F.col("most.c").alias("major"), (F.col("all") - F.col("most.n")).alias("minors"), F.col("l.r").alias("a"), F.col("l.c").alias("ca"))
+    return packed(named.join(held, "key").withColumn("main", F.col("c") == F.col("major")).drop("major"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """``doc_id``, ``class_id`` for every row of ``docs``: the least id of its class of near-duplicates.
 
     Two texts are linked if the alignment of their words reaches ``least``; classes are connected by links. Candidates
-    share one of 16 sketches. Within a sketch every two texts are compared, save those already in one class: round by
-    round a few leaders, four times as many each round, face all others of the sketch, as joins that can be split; no
-    sketch is gathered in one task and none is capped. Rows of one id are one document. Texts without words (null,
-    empty, punctuation) are alone in their class, rows with a null id have a null class; repeated rows each get
-    their row; an empty table gives none.
+    share one of 16 sketches: a pair of which five-word shingles agree to 0.8 misses all with a chance below 1e-6.
+    First the least id of each sketch faces the others. Where a sketch still holds several classes, members outside
+    its largest class face all others if they are few; if they are many, as with a passage that dissimilar texts
+    share, the sketch is refined by each crowded one among the next three, up to five together, and treated alike: two texts
+    that share a sketch that isn't crowded meet there, and of six crowded ones two at least lie so near. What five equal
+    sketches leave mixed is compared in full, by rounds of more and more leaders. All of it are joins that can be
+    split; no sketch is gathered in one task, and none is dropped or capped.
+
+    Rows of one id are one document. Texts without words (null, empty, punctuation) are alone in their class, rows
+    with a null id have a null class; repeated rows each get their row; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
     sketched = settle(sketches(docs, F.col(doc_id), F.col(text)), "sketches")
     known = sketched.where("doc_id is not null and content is not null")
     reps = settle(known.groupBy("content").agg(F.min("doc_id").alias("rep")), "reps")
-    keyed = known.join(reps.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = settle(keyed.join(shared, "key", "left_semi").distinct(), "members")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null")
+    arrays = known.join(reps.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "keys")
+    level = _shared(arrays.select("rep", F.posexplode("keys").alias("upto", "key")), "members")
+    texts = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(level.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
     # rows of one id are one document, whatever their texts
-    links = known.join(reps, "content").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(known.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    links = settle(links, "links")
-    tried: DataFrame | None = None
-    classes = components(links, "a", "b")
-    size = 1
-    while not members.isEmpty():
-        named = members.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        slot = F.pmod(F.xxhash64("rep"), F.lit(size)) if size > 1 else F.lit(0)
-        leaders = named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "c")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.c").alias("lc"))
-        faced = named.join(leaders, "key").where("c <> lc").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        if tried is not None:
-            faced = faced.join(tried, ["a", "b"], "left_anti")
-        faced = settle(faced, "pairs")
-        tried = faced if tried is None else tried.unionByName(faced)
-        new = settle(verified(faced, texts, least).select("a", "b"), "links")
-        links = links.unionByName(new)
-        classes = components(links, "a", "b")
-        # leaders have faced all; sketches whose members are all of one class have nothing left to tell
-        left = members.join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti")
-        left = left.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        open_ = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        members = settle(left.join(open_, "key", "left_semi").select("key", "rep"), "members")
-        size *= 4
+    twice = known.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("doc_id")
+    links = known.join(twice, "doc_id", "left_semi").join(reps, "content").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    classes = _Classes(links, texts, least)
+    leaders = level.groupBy("key").agg(F.min("rep").alias("a"))
+    classes.face(level.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
+    mixed, n = _mixed(classes.named(level))
+    crowded: DataFrame | None = None
+    for depth in range(1, DEEPEST + 1):
+        if not n:
+            break
+        rows = mixed if depth == 1 else classes.named(mixed.drop("c"))
+        few = rows.where(F.col("minors") <= MINORS)
+        x = few.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
+        y = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main")
+        pairs = x.join(y, "key").where("ca <> cb and (main or a < b)").select("a", "b")
+        mixed = rows.where(F.col("minors") > MINORS)
+        if depth == DEEPEST:
+            classes.face(pairs)
+            break
+        if crowded is None:
+            # the crowded sketches of each text, 16 at most; two texts that share another meet there
+            crowded, _ = packed(mixed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("upto").alias("at"), F.col("key").alias("other")))).alias("crowded")).where("size(crowded) > 1"), "crowded")
+            mixed = mixed.join(crowded, "rep")
+        following = lambda c, upto: F.filter(c, lambda x: (x["at"] > upto) & (x["at"] <= upto + GAP))
+        further = mixed.select("rep", "c", "crowded", "key", F.explode(following(F.col("crowded"), F.col("upto"))).alias("f"))
+        mixed, n = _mixed(further.select("rep", "c", "crowded", F.col("f.at").alias("upto"), F.xxhash64("key", "f.other").alias("key")))
+        classes.face(pairs.unionByName(mixed.where("c <> ca").select("a", F.col("rep").alias("b"))))
+    if n:
+        _compare_all(mixed.select("key", "rep"), classes)
     found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return found.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    return found.join(classes.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+
+
+def _compare_all(members: DataFrame, classes: _Classes) -> None:
+    """Compare all members of each key but those of one class: round by round some leaders, eight times as many each
+    round, face all others; a key whose rest is of one class has nothing left to tell."""
+    size = 16
+    while not members.isEmpty():
+        named = classes.named(members)
+        leaders = named.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(size)).alias("slot")).agg(F.min(F.struct("rep", "c")).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.c").alias("ca"))
+        classes.face(named.join(leaders, "key").where("c <> ca").select("a", F.col("rep").alias("b")))
+        left = classes.named(members.join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"))
+        still = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        members = packed(left.join(still, "key", "left_semi").select("key", "rep"), "members")[0]
+        size *= 8
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

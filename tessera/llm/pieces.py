@@ -21,13 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from tessera.llm.common import ship
+from tessera.llm.common import remembered, ship
 from tessera.llm.tokens import MARK, load
 
 #: Log-weight of a piece for each point of its score: ranks of some thousands part likely from unlikely pieces.
 ALPHA = 1 / 2000
 #: Characters walked together, and nodes of remembered lattices.
-GROUP, NODES = 500_000, 2_000_000
+GROUP, NODES = 500_000, 1_500_000
 #: Hypotheses this far, in log-mass, below a sibling are not drawn: their chance to matter is below 1e-25.
 FAR = 60.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -246,16 +246,9 @@ class Lattices(dict):
         self.nodes, self.edges = self.nodes + n_nodes, self.edges + len(source)
 
 
-_kept: dict[int, Lattices] = {}
-
-
 def lattices_of(model: bytes) -> Lattices:
     """A worker's lattices for a model: tasks that follow one another in a worker go on with them."""
-    h = xxhash.xxh3_64_intdigest(model)
-    if h not in _kept:
-        _kept.clear()
-        _kept[h] = Lattices(Vocabulary(model))
-    return _kept[h]
+    return remembered(f"lattices {xxhash.xxh3_64_intdigest(model)}", lambda: Lattices(Vocabulary(model)))
 
 
 def copied(into: np.ndarray, to: np.ndarray, out_of: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
