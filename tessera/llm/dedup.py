@@ -29,8 +29,8 @@ _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
 MINORS, FEW = 12, 50_000
 #: Pairs that one task aligns, where few are.
 ALIGNED = 500
-#: How far apart two sketches are that refine one another, and how many do together.
-GAP, DEEPEST = 3, 5
+#: Bins that words are counted in, and 64-bit lanes that hold the parities of a text's words.
+BINS, LANES = 1 << 20, 8
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -52,9 +52,9 @@ class WordHash(dict):
         return h
 
 
-def labelled_kmers(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles, in text order. Fewer than five words are one shingle."""
-    k = min(WORDS, len(hashes))
+def labelled_kmers(hashes: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of ``k`` words, in text order. Fewer than ``k`` words are one shingle."""
+    k = min(k, len(hashes))
     n = len(hashes) - k + 1
     x = np.zeros(n, np.uint64)
     for i in range(k):
@@ -261,10 +261,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share one of 16 sketches: a pair of which five-word shingles agree to 0.8 misses all with a chance below 1e-6.
     First the least id of each sketch faces the others. Where a sketch still holds several classes, members outside
     its largest class face all others if they are few; if they are many, as with a passage that dissimilar texts
-    share, the sketch is refined by each crowded one among the next three, up to five together, and treated alike: two texts
-    that share a sketch that isn't crowded meet there, and of six crowded ones two at least lie so near. What five equal
-    sketches leave mixed is compared in full, by rounds of more and more leaders. All of it are joins that can be
-    split; no sketch is gathered in one task, and none is dropped or capped.
+    share, its members meet by their rarest words (``_face_by_words``), which misses no pair that aligns. All of it are
+    joins that can be split; no sketch is gathered in one task, and none is dropped or capped.
 
     Rows of one id are one document. Texts without words (null, empty, punctuation) are alone in their class, rows
     with a null id have a null class; repeated rows each get their row; an empty table gives none.
@@ -284,45 +282,79 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = level.groupBy("key").agg(F.min("rep").alias("a"))
     classes.face(level.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
     mixed, n = _mixed(classes.named(level))
-    crowded: DataFrame | None = None
-    for depth in range(1, DEEPEST + 1):
-        if not n:
-            break
-        rows = mixed if depth == 1 else classes.named(mixed.drop("c"))
-        few = rows.where(F.col("minors") <= MINORS)
-        x = few.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
-        y = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main")
-        pairs = x.join(y, "key").where("ca <> cb and (main or a < b)").select("a", "b")
-        mixed = rows.where(F.col("minors") > MINORS)
-        if depth == DEEPEST:
-            classes.face(pairs)
-            break
-        if crowded is None:
-            # the crowded sketches of each text, 16 at most; two texts that share another meet there
-            crowded, _ = packed(mixed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("upto").alias("at"), F.col("key").alias("other")))).alias("crowded")).where("size(crowded) > 1"), "crowded")
-            mixed = mixed.join(crowded, "rep")
-        following = lambda c, upto: F.filter(c, lambda x: (x["at"] > upto) & (x["at"] <= upto + GAP))
-        further = mixed.select("rep", "c", "crowded", "key", F.explode(following(F.col("crowded"), F.col("upto"))).alias("f"))
-        mixed, n = _mixed(further.select("rep", "c", "crowded", F.col("f.at").alias("upto"), F.xxhash64("key", "f.other").alias("key")))
-        classes.face(pairs.unionByName(mixed.where("c <> ca").select("a", F.col("rep").alias("b"))))
     if n:
-        _compare_all(mixed.select("key", "rep"), classes)
+        few = mixed.where(F.col("minors") <= MINORS)
+        classes.face(_facing(few))
+        _face_by_words(mixed.where(F.col("minors") > MINORS).select("rep").distinct(), classes)
     found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return found.join(classes.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
 
 
-def _compare_all(members: DataFrame, classes: _Classes) -> None:
-    """Compare all members of each key but those of one class: round by round some leaders, eight times as many each
-    round, face all others; a key whose rest is of one class has nothing left to tell."""
-    size = 16
-    while not members.isEmpty():
-        named = classes.named(members)
-        leaders = named.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(size)).alias("slot")).agg(F.min(F.struct("rep", "c")).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.c").alias("ca"))
-        classes.face(named.join(leaders, "key").where("c <> ca").select("a", F.col("rep").alias("b")))
-        left = classes.named(members.join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"))
-        still = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        members = packed(left.join(still, "key", "left_semi").select("key", "rep"), "members")[0]
-        size *= 8
+def _facing(rows: DataFrame, *carried: str, where: Column | None = None) -> DataFrame:
+    """Pairs (``a``, ``b``) of rows of one key and two classes that meet ``where``, said of columns ``carried``, which
+    the first row has as they are and the second with a ``_`` before."""
+    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), *carried)
+    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in carried])
+    met = F.expr("ca <> cb and (main or a < b)")
+    return x.join(y, "key").where(met if where is None else met & where).select("a", "b")
+
+
+def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
+    """Align every two texts of ``crowd`` (``rep``) of two classes that can reach the similarity asked for.
+
+    A text of n words may lose ``most``, a share of n; a pair that aligns has all but ``most`` words of the longer one
+    in common, repetitions told apart. So, whatever order all words are put in, the two have a word in common among
+    their first ``most + 1``. Rare words go first; words of one bin count as equally rare, which is only a matter of
+    speed. Of the pairs that meet at a word, those go that their lengths or the parities of their words rule out: each
+    bit in which parities differ tells of at least one word that the two don't share.
+    """
+    lose = 1 - classes.least
+    crowd, n = packed(crowd, "crowd")
+    if not n:
+        return
+    texts = settle(classes.texts.join(crowd.withColumnRenamed("rep", "id"), "id", "left_semi"), "crowded")
+
+    def words_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        known = remembered("word hashes", WordHash)
+        for raw in batch.column(1).cast(pa.binary()).to_pylist():
+            words = words_of(raw)
+            yield labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1) if words else np.empty(0, np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for x in words_in(batch):
+                np.add.at(total, (x & np.uint64(BINS - 1)).astype(np.int64), 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["bin", "n"])
+
+    counted = texts.mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    held = np.ones(BINS, np.int64)
+    held[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(np.minimum(held, np.iinfo(np.int32).max).astype(np.int32))
+    lanes = [f"s{i}" for i in range(LANES)]
+
+    def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for batch in batches:
+            lengths, parities, first = [], np.zeros((batch.num_rows, LANES), np.int64), []
+            for i, x in enumerate(words_in(batch)):
+                lengths.append(len(x))
+                bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
+                parities[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                order = np.lexsort((x, common[(x & np.uint64(BINS - 1)).astype(np.int64)]))
+                first.append(x[order[: int(len(x) * lose + 1e-9) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), *[pa.array(parities[:, i]) for i in range(LANES)], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *lanes, "first"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    read = settle(texts.mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in lanes)}, first array<bigint>"), "words")
+    rows, n = _mixed(classes.named(read).select("rep", "c", "n", *lanes, F.explode("first").alias("key")))
+    if not n:
+        return
+    longer, shorter = F.greatest("n", "_n"), F.least("n", "_n")
+    most = F.floor(longer * F.lit(lose) + F.lit(1e-9))
+    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in lanes), longer - shorter)
+    classes.face(_facing(rows, "n", *lanes, where=(longer - shorter <= most) & (differ <= 2 * most)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,6 +147,24 @@ def test_near_duplicates(spark, odd, none):
     assert len(found) == odd.count() and sum(r["class_id"] is None for r in found) == 1 and dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Texts that share a passage, each with a copy whose every third word outside it is another: the only sketches that
+    a text and its copy have in common are the passage's, which all texts share."""
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage, rows = text(90), []
+    for _ in range(60):
+        own = text(60)
+        rows += [passage + own, passage + [f"z{rng.randrange(5000)}" if i % 3 == 1 else w for i, w in enumerate(own)]]
+    assert all(dedup.similarity(a, b) for a, b in zip(rows[::2], rows[1::2]))
+    keys = [set(dedup.order_minhash(dedup.labelled_kmers(np.array([dedup.WordHash()[w.encode()] for w in t], np.uint64))).tolist()) for t in rows]
+    met = {i for i in range(0, len(rows), 2) if keys[i] & keys[i + 1]}
+    assert len(met) > 40
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(df).collect()}
+    assert all(got[i] == got[i + 1] == i for i in met) and all(got[i] == i for i in range(0, len(rows), 2))
+
+
 def test_near_duplicates_by_brute_force(spark, docs):
     """Over a table: every pair that aligns to 0.8 and whose five-word shingles agree to one half is in one class; the
     classes are connected by such alignments."""
