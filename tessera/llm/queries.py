@@ -81,7 +81,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("source"), F.col("source"))
+    found = secrets.scan_secrets(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("source"), F.col("source"), kinds=secrets.KINDS)
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))

@@ -17,7 +17,8 @@ from tessera.llm.common import settle
 @dataclass(frozen=True)
 class Kind:
     """A candidate pattern. ``value``: the group that holds the secret; ``least``: its least length; ``hint``: texts
-    without a match of it (or, if ``literal``, without that string) have no match; ``base``: kept whatever its owners."""
+    without a match of it (or, if ``literal``, without that string) have no match; ``base``: kept whatever its owners;
+    ``frame``: what of the value is no secret, and is left out where values are counted and judged."""
 
     name: str
     pattern: str
@@ -26,6 +27,7 @@ class Kind:
     hint: tuple[str, ...] = ()
     base: bool = False
     mixed: bool = False
+    frame: str = ""
 
 
 # The base patterns of the contract, and public forms of provider tokens.
@@ -36,6 +38,12 @@ KINDS = (
     Kind("provider", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 10, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "-----BEGIN ")),
     Kind("entropy", r"[A-Za-z0-9+/_-]{32,}", 0, 32, mixed=True),
 )
+_BEGIN = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_END = r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A private key from its first line to its last; where the last is missing, as far as lines of the key go.
+KEY = Kind("key", rf"{_BEGIN}(?:[^-]*+(?:-(?!----)[^-]*+)*+{_END}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++)", 0, 10, ("PRIVATE KEY",), frame=rf"{_BEGIN}|{_END}|\s|\\[nr]")
+#: KINDS are those of the query's SQL, which knows a private key by its first line only.
+ALL_KINDS = (*KINDS, KEY)
 #: A value that so many distinct owners hold is an example; one with fewer is its owners'.
 COPIED_BY = 3
 SPAN = "struct<kind:string,rank:int,start:bigint,end:bigint,vstart:bigint,vend:bigint,hash:bigint,random:boolean>"
@@ -53,11 +61,12 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         value = x["value"]
+        secret = F.regexp_replace(value, kind.frame, "") if kind.frame else value
         # the value is the last group: it ends where the match ends
         span = F.struct(
             F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"),
-            (end - F.length(value)).alias("vstart"), end.alias("vend"), F.xxhash64(value).alias("hash"),
-            (value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)).alias("random"),
+            (end - F.length(value)).alias("vstart"), end.alias("vend"), F.xxhash64(secret).alias("hash"),
+            (secret.rlike("[0-9]") & secret.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(secret, ""))) >= 8)).alias("random"),
         )
         keep = F.length(value) >= kind.least
         if kind.mixed:
@@ -72,7 +81,7 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
     return F.when(there if kind.hint else text.rlike(kind.pattern), folded).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, row_id: Column, text: Column, repository: Column, owner: Column, copied_by: int = COPIED_BY, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, row_id: Column, text: Column, repository: Column, owner: Column, copied_by: int = COPIED_BY, kinds: tuple[Kind, ...] = ALL_KINDS) -> DataFrame:
     """One row for each row of ``docs``: ``row_id``, ``body`` (hash of the text) and ``spans``, by start and then kind: kind, start, end (code
     points of the whole match, end exclusive), vstart, vend (of the secret itself), n_docs, n_repos, n_owners (of its
     value over the corpus) and class: ``example`` (``copied_by`` owners or more), ``live`` (fewer, and random-looking)
