@@ -39,6 +39,9 @@ BINS = 1 << 13
 ROWS_PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES = 700, 5_000, 200
 #: Shares are scaled to the size of a unit vector.
 SCALE = 20.0
+#: The part of a language's profile that is even over all bins; how far below the median, in nats a gram, a text is let
+#: pass in any case; standard errors of a short text's mean that are let pass besides.
+EVEN, NATS, ERRORS = 0.05, 2.5, 4.0
 LETTER = regex.compile(r"\p{L}")
 #: Letters stay; all else is a blank.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -72,12 +75,21 @@ def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Machines:
     """``weights``: bins + 1 by machines. ``families``: names in order of their machines; ``pairs``: (a, b) of the
-    machines that follow, positive for a; ``members``: languages of each family."""
+    machines that follow, positive for a; ``members``: languages of each family. ``profiles``: bins + 1 by languages,
+    each the logarithms of a language's shares; ``floors``: for each language the least mean of them that a text of it
+    has, and their variance."""
 
     families: list[str]
     members: dict[str, list[str]]
     pairs: list[tuple[str, str]]
     weights: np.ndarray
+    profiles: np.ndarray
+    floors: dict[str, tuple[int, float, float]]
+
+    def knows(self, code: str, means: np.ndarray, size: int) -> bool:
+        """Whether a text of ``size`` grams, told to be ``code``, is like what was learned of it."""
+        at, least, variance = self.floors[code]
+        return bool(means[at] >= least - ERRORS * np.sqrt(variance / max(size, 1)))
 
     def decide(self, margins: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) for each row of margins."""
@@ -182,7 +194,33 @@ def fit(docs: DataFrame, text: Column, language: Column, learn: Column, order: C
     for a, b in pairs:
         own = (codes == a) | (codes == b)
         columns.append(linear_svm(x[own], np.where(codes[own] == a, 1.0, -1.0)))
-    return Machines(families, members, pairs, np.stack(columns, 1).astype(np.float32))
+    profiles, floors = profiles_of(x, codes)
+    return Machines(families, members, pairs, np.stack(columns, 1).astype(np.float32), profiles, floors)
+
+
+def profiles_of(x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[int, float, float]]]:
+    """``profiles`` and ``floors`` of the languages ``codes`` of the rows of ``x``, scaled shares.
+
+    The least is that of the learning rows, each half of them seen by the profile of the other half, or ``NATS`` below
+    their median if that is lower: it depends on one language's rows only, not on how many languages or families there
+    are. One row alone sets no floor."""
+
+    def profile(rows: np.ndarray) -> np.ndarray:
+        return np.log((1 - EVEN) * rows.mean(0, dtype=np.float64) / SCALE + EVEN / BINS)
+
+    columns, floors = [], {}
+    for at, code in enumerate(sorted(set(codes.tolist()))):
+        own = x[codes == code]
+        log = profile(own)
+        columns.append(np.append(log, 0.0))
+        p = own.mean(0, dtype=np.float64) / SCALE
+        variance = float(p @ log**2 - (p @ log) ** 2)
+        least = -np.inf
+        if len(own) > 1:
+            means = np.concatenate([own[::2] @ profile(own[1::2]), own[1::2] @ profile(own[::2])]) / SCALE
+            least = float(min(means.min(), np.median(means) - NATS))
+        floors[code] = (at, least, variance)
+    return np.stack(columns, 1).astype(np.float32), floors
 
 
 def language_of(spark: SparkSession, machines: Machines | None, text: Column) -> Column:
@@ -217,7 +255,29 @@ def identify(docs: DataFrame, row_id: Column, text: Column, machines: Machines |
     return found.select("row_id", "found.language", "found.score")
 
 
-def keep_known(docs: DataFrame, text: Column, machines: Machines | None, least: float = 0.25) -> DataFrame:
-    """Rows of ``docs``, columns unchanged, whose text is in a language: not ``und``, and of score ``least`` or more."""
-    found = docs.select(F.struct("*").alias("row"), language_of(docs.sparkSession, machines, text).alias("found"))
-    return found.where((F.col("found.language") != "und") & (F.col("found.score") >= least)).select("row.*")
+def known(spark: SparkSession, machines: Machines | None, text: Column) -> Column:
+    """Whether each text is in a language that was learned: not ``und``, and as like the language told as its learning
+    rows are. A language close to a learned one may pass for it."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(machines)
+
+    @F.arrow_udf("boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = sent.value
+        for batch in batches:
+            texts = batch.to_pylist()
+            there = [i for i, t in enumerate(texts) if t and model is not None and LETTER.search(t)]
+            kept = [False] * len(texts)
+            if there:
+                k = model.weights.shape[1]
+                found = margins_of([texts[i] for i in there], np.hstack([model.weights, model.profiles]))
+                for i, (code, _), means in zip(there, model.decide(found[:, :k]), found[:, k:] / SCALE):
+                    kept[i] = model.knows(code, means, 2 * (len(body_of(texts[i])) - 2))
+            yield pa.array(kept, pa.bool_())
+
+    return predict(text)
+
+
+def keep_known(docs: DataFrame, text: Column, machines: Machines | None) -> DataFrame:
+    """Rows of ``docs``, columns unchanged, whose text is in a language that ``machines`` know, as ``known`` tells."""
+    return docs.select(F.struct("*").alias("row"), known(docs.sparkSession, machines, text).alias("known")).where("known").select("row.*")

@@ -35,6 +35,16 @@ def test_language_edges(spark, odd, none, docs):
     assert language.keep_known(odd, F.col("text"), m).columns == odd.columns
 
 
+def test_unknown_languages_are_dropped(spark, docs):
+    """Foreign and junk texts go; nearly all held-out ones stay."""
+    m = language.fit(docs, F.col("text"), F.col("lang"), ~queries.held_out(), F.col("doc_id"))
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 3, "Все люди рождаются свободными и равными в своём достоинстве и правах. " * 3, "xqzj kvwq zzxq jqkx vvqz qqjx wxzk " * 8]
+    given = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    assert language.keep_known(given, F.col("text"), m).count() == 0
+    held = docs.where(queries.held_out()).where("text is not null")
+    assert language.keep_known(held, F.col("text"), m).count() >= 0.99 * held.count()
+
+
 def test_language_margins_by_hand(monkeypatch):
     """Margins of grouped, piecewise texts equal those of features taken text by text."""
     rng = np.random.default_rng(1)
