@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import TypeVar
 
@@ -28,11 +31,28 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by its own path."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    """Let Python workers import this package when the driver found it by its own path: by that path where all workers
+    are on this machine, else by a zip of the package that Spark hands to every executor."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.master.startswith("local"):
+        env = sc.environment
+        if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH")) if x)
+    elif sc.applicationId not in _shipped:
+        sc.addPyFile(zipped(root))
+        _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
+def zipped(root: Path) -> str:
+    """A zip of the package's modules, on the driver only."""
+    path = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera-modules.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for module in sorted(root.glob("tessera/**/*.py")):
+            z.write(module, module.relative_to(root))
+    return str(path)
 
 
 _remembered: dict[str, object] = {}
@@ -48,9 +68,12 @@ def remembered(name: str, make: Callable[[], T]) -> T:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and
+    all executors are threads of this process. Elsewhere an unset folder is an error: rows would be missed."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -64,7 +87,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled = path
+    return back
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are removed at the end, but for those passed to the function given."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._settled)
+        return df
+
+    yield keep
+    for spark, path in [w for w in _written[before:] if w[1] not in kept]:
+        _remove(spark, path)
+        _written.remove((spark, path))
 
 
 #: Rows that one task takes where rows are small.
@@ -84,13 +124,17 @@ def packed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return df.coalesce(tasks_for(n)), n
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def _forget() -> None:
     """Remove this session's settled tables, if the session still lives."""
     for spark, path in _written:
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: its shared folder is the cluster's to clean
             return
 

@@ -16,19 +16,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, remembered, settle, ship, words_of
+from tessera.llm.common import packed, remembered, scratch, settle, ship, words_of
 from tessera.llm.graph import components
 
-WORDS, SKETCHES, KEPT, SIMILAR = 5, 16, 2, 0.8
+#: Words of a shingle; sketches of a text; the similarity asked for. Two texts of 200 words of which a share of words
+#: taken at random differs have one of 80 sketches in common with chance 0.93 (20 % of the words), 0.98 (18 %), 1.00 (15 %).
+WORDS, SKETCHES, SIMILAR = 5, 80, 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _STEP = _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _RNG.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
-#: Members of a sketch, outside its largest class, that face all others at once; ids that are sent rather than dealt.
-MINORS, FEW = 12, 50_000
-#: Pairs that one task aligns, where few are.
-ALIGNED = 500
+#: Ids that are sent to the texts rather than dealt with them; pairs of one leader that one task aligns.
+FEW, ALIGNED = 50_000, 500
 #: Bins that words are counted in, and 64-bit lanes that hold the parities of a text's words.
 BINS, LANES = 1 << 20, 8
 #: Words whose hashes a task remembers.
@@ -186,30 +186,23 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 
 def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Of ``n`` ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``."""
+    """Of ``n`` ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``.
+
+    An ``a`` of many pairs is dealt to a task for each ``ALIGNED`` of them, so no task has all pairs of one text."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if 2 * n <= FEW:
-        # so few ids that sending them to the texts is cheaper than dealing the texts by id
-        own = packed(texts.join(F.broadcast(wanted), "id", "left_semi"), "texts")[0]
-        spread = lambda df: df.repartition(n // ALIGNED + 1)
-    else:
-        own = texts.join(wanted, "id", "left_semi")
-        spread = lambda df: df
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    both = spread(both)
+    # so few ids that sending them to the texts is cheaper than dealing the texts by id
+    own = packed(texts.join(F.broadcast(wanted) if 2 * n <= FEW else wanted, "id", "left_semi"), "texts")[0]
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ALIGNED).cast("int").alias("parts"))
+    left = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    right = own.join(parts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = left.join(right, ["a", "part"]).join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = both.repartition(n // ALIGNED + 1)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-                raw = x.as_py()
-                if raw != last:
-                    last, words = raw, words_of(raw)
-                found.append(similarity(words, words_of(y.as_py()), least))
-            s = pa.array(found, pa.float64())
+            found = [similarity(words_of(x.as_py()), words_of(y.as_py()), least) for x, y in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()))]
             keep = pa.array([f > 0 for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], ["a", "b", "similarity"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"]).filter(keep)
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(align, f"a {kind}, b {kind}, similarity double")
@@ -247,10 +240,9 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _mixed(named: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of keys with several classes: with ``main`` (of the key's largest class), ``minors`` (how many are not), and
-    ``a``, ``ca``: the key's least id and its class."""
-    held = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("classes"), F.min(F.struct("r", "c")).alias("l"))
-    held = held.where("classes > 1").select("key", F.col("most.c").alias("major"), (F.col("all") - F.col("most.n")).alias("minors"), F.col("l.r").alias("a"), F.col("l.c").alias("ca"))
+    """Rows of keys that several classes hold: with ``main`` (the row's class is the key's largest)."""
+    held = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    held = held.where("classes > 1").select("key", F.col("most.c").alias("major"))
     return packed(named.join(held, "key").withColumn("main", F.col("c") == F.col("major")).drop("major"), "mixed")
 
 
@@ -258,36 +250,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, ``class_id`` for every row of ``docs``: the least id of its class of near-duplicates.
 
     Two texts are linked if the alignment of their words reaches ``least``; classes are connected by links. Candidates
-    share one of 16 sketches: a pair of which five-word shingles agree to 0.8 misses all with a chance below 1e-6.
-    First the least id of each sketch faces the others. Where a sketch still holds several classes, members outside
-    its largest class face all others if they are few; if they are many, as with a passage that dissimilar texts
-    share, its members meet by their rarest words (``_face_by_words``), which misses no pair that aligns. All of it are
-    joins that can be split; no sketch is gathered in one task, and none is dropped or capped.
+    share one of ``SKETCHES`` sketches. First the least id of each sketch faces the others. Every text of a sketch that
+    then still holds several classes, however large, as with a passage that dissimilar texts share, goes on to meet all
+    such texts by rarest words (``_face_by_words``), which misses no pair of them that aligns. All of it are joins that
+    can be split; no sketch is gathered in one task, and none is dropped or capped. What is missed are pairs without a
+    sketch in common: see ``SKETCHES``.
 
     Rows of one id are one document. Texts without words (null, empty, punctuation) are alone in their class, rows
     with a null id have a null class; repeated rows each get their row; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
-    sketched = settle(sketches(docs, F.col(doc_id), F.col(text)), "sketches")
-    known = sketched.where("doc_id is not null and content is not null")
-    reps = settle(known.groupBy("content").agg(F.min("doc_id").alias("rep")), "reps")
-    arrays = known.join(reps.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "keys")
-    level = _shared(arrays.select("rep", F.posexplode("keys").alias("upto", "key")), "members")
-    texts = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(level.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
-    # rows of one id are one document, whatever their texts
-    twice = known.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("doc_id")
-    links = known.join(twice, "doc_id", "left_semi").join(reps, "content").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    classes = _Classes(links, texts, least)
-    leaders = level.groupBy("key").agg(F.min("rep").alias("a"))
-    classes.face(level.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
-    mixed, n = _mixed(classes.named(level))
-    if n:
-        few = mixed.where(F.col("minors") <= MINORS)
-        classes.face(_facing(few))
-        _face_by_words(mixed.where(F.col("minors") > MINORS).select("rep").distinct(), classes)
-    found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return found.join(classes.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    with scratch() as keep:
+        sketched = settle(sketches(docs, F.col(doc_id), F.col(text)), "sketches")
+        known = sketched.where("doc_id is not null and content is not null")
+        reps = settle(known.groupBy("content").agg(F.min("doc_id").alias("rep")), "reps")
+        arrays = known.join(reps.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "keys")
+        level = _shared(arrays.select("rep", F.explode("keys").alias("key")), "members")
+        texts = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(level.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+        # rows of one id are one document, whatever their texts
+        twice = known.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("doc_id")
+        links = known.join(twice, "doc_id", "left_semi").join(reps, "content").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        classes = _Classes(links, texts, least)
+        leaders = level.groupBy("key").agg(F.min("rep").alias("a"))
+        classes.face(level.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
+        named = settle(classes.named(level), "named")
+        several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        _face_by_words(named.join(several, "key", "left_semi").select("rep", "c").distinct(), classes)
+        found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+        found = found.join(classes.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+        return keep(settle(found, "classes"))
 
 
 def _facing(rows: DataFrame, *carried: str, where: Column | None = None) -> DataFrame:
@@ -300,19 +292,20 @@ def _facing(rows: DataFrame, *carried: str, where: Column | None = None) -> Data
 
 
 def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
-    """Align every two texts of ``crowd`` (``rep``) of two classes that can reach the similarity asked for.
+    """Align every two texts of ``crowd`` (``rep``, ``c``: its class) of two classes that can reach the similarity asked for.
 
     A text of n words may lose ``most``, a share of n; a pair that aligns has all but ``most`` words of the longer one
     in common, repetitions told apart. So, whatever order all words are put in, the two have a word in common among
-    their first ``most + 1``. Rare words go first; words of one bin count as equally rare, which is only a matter of
-    speed. Of the pairs that meet at a word, those go that their lengths or the parities of their words rule out: each
-    bit in which parities differ tells of at least one word that the two don't share.
+    their first ``most + 1``. Words of one class alone go first, and are left out: they join no two classes. Rare words
+    follow; words of one bin count as one in both respects, which is only a matter of speed. Of the pairs that meet at
+    a word, those go that their lengths or the parities of their words rule out: each bit in which parities differ
+    tells of at least one word that the two don't share.
     """
     lose = 1 - classes.least
     crowd, n = packed(crowd, "crowd")
     if not n:
         return
-    texts = settle(classes.texts.join(crowd.withColumnRenamed("rep", "id"), "id", "left_semi"), "crowded")
+    texts = settle(classes.texts.join(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), "id"), "crowded")
 
     def words_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         known = remembered("word hashes", WordHash)
@@ -320,18 +313,24 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
             words = words_of(raw)
             yield labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1) if words else np.empty(0, np.uint64)
 
+    def bins_of(x: np.ndarray) -> np.ndarray:
+        return (x & np.uint64(BINS - 1)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        total, lo, hi = np.zeros(BINS, np.int64), np.full(BINS, np.iinfo(np.int64).max), np.full(BINS, np.iinfo(np.int64).min)
         for batch in batches:
-            for x in words_in(batch):
-                np.add.at(total, (x & np.uint64(BINS - 1)).astype(np.int64), 1)
+            for x, c in zip(words_in(batch), batch.column(2).to_pylist()):
+                b = bins_of(x)
+                np.add.at(total, b, 1)
+                lo[b], hi[b] = np.minimum(lo[b], c), np.maximum(hi[b], c)
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there]), pa.array(lo[there]), pa.array(hi[there])], ["bin", "n", "lo", "hi"])
 
-    counted = texts.mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    held = np.ones(BINS, np.int64)
+    counted = texts.mapInArrow(count, "bin int, n bigint, lo bigint, hi bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = counted.where("lo < hi").select("bin", F.least("n", F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")).toArrow()
+    held = np.zeros(BINS, np.int32)  # 0: of one class alone
     held[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
-    sent = texts.sparkSession.sparkContext.broadcast(np.minimum(held, np.iinfo(np.int32).max).astype(np.int32))
+    sent = texts.sparkSession.sparkContext.broadcast(held)
     lanes = [f"s{i}" for i in range(LANES)]
 
     def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +341,14 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
                 lengths.append(len(x))
                 bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
                 parities[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                order = np.lexsort((x, common[(x & np.uint64(BINS - 1)).astype(np.int64)]))
-                first.append(x[order[: int(len(x) * lose + 1e-9) + 1]].view(np.int64))
+                rank = common[bins_of(x)]
+                order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1]
+                first.append(x[order[rank[order] > 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), *[pa.array(parities[:, i]) for i in range(LANES)], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *lanes, "first"])
 
     kind = texts.schema["id"].dataType.simpleString()
     read = settle(texts.mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in lanes)}, first array<bigint>"), "words")
-    rows, n = _mixed(classes.named(read).select("rep", "c", "n", *lanes, F.explode("first").alias("key")))
+    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *lanes, F.explode("first").alias("key")))
     if not n:
         return
     longer, shorter = F.greatest("n", "_n"), F.least("n", "_n")
@@ -358,10 +358,11 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs``, columns unchanged, one of each class of near-duplicates: that of the least id. Rows with a
-    null id all stay; of rows that repeat the least id one stays."""
-    kept = near_duplicates(docs, doc_id, text).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    known = docs.join(kept, F.col(doc_id) == F.col("__id"))
-    once = known.where("__n = 1").select(docs.columns)
-    again = known.where("__n > 1").select(docs.columns).dropDuplicates([doc_id])
+    """Rows of ``docs``, columns unchanged whatever their names, one of each class of near-duplicates: that of the
+    least id. Rows with a null id all stay; of rows that repeat the least id the one stays whose text hashes least."""
+    kept = near_duplicates(docs, doc_id, text).where("doc_id = class_id").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row"))
+    known = given.join(kept, "id")
+    once = known.where("n = 1").select("row.*")
+    again = known.where("n > 1").groupBy("id").agg(F.min_by("row", "hash").alias("row")).select("row.*")
     return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
