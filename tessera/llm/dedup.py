@@ -20,8 +20,8 @@ from tessera.llm.common import packed, remembered, scratch, settle, ship, words_
 from tessera.llm.graph import components
 
 #: Words of a shingle; sketches of a text; the similarity asked for. Two texts of 200 words of which a share of words
-#: taken at random differs have one of 80 sketches in common with chance 0.93 (20 % of the words), 0.98 (18 %), 1.00 (15 %).
-WORDS, SKETCHES, SIMILAR = 5, 80, 0.8
+#: taken at random differs have one of 64 sketches in common with chance 0.90 (20 % of the words), 0.96 (18 %), 0.99 (15 %).
+WORDS, SKETCHES, SIMILAR = 5, 64, 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _STEP = _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,8 +29,8 @@ _FACTOR = _RNG.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) +
 _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
 #: Ids that are sent to the texts rather than dealt with them; pairs of one leader that one task aligns.
 FEW, ALIGNED = 50_000, 500
-#: Bins that words are counted in, and 64-bit lanes that hold the parities of a text's words.
-BINS, LANES = 1 << 20, 8
+#: Bins that words are counted in, and the 64-bit columns that hold the parities of a text's words.
+BINS, LANES = 1 << 20, [f"s{i}" for i in range(8)]
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -185,6 +185,39 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     return given.mapInArrow(scan, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, content binary, keys array<bigint>")
 
 
+def labelled_words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, told apart by their occurrence."""
+    known = remembered("word hashes", WordHash)
+    for raw in texts.cast(pa.binary()).to_pylist():
+        words = words_of(raw)
+        yield labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1) if words else np.empty(0, np.uint64)
+
+
+def fingerprinted(texts: DataFrame) -> DataFrame:
+    """``texts`` (``id``, ``text``) with ``n``, the number of words, and the parities of the words, in lanes of 64 bits."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, parities = [], np.zeros((batch.num_rows, len(LANES)), np.int64)
+            for i, x in enumerate(labelled_words(batch.column(1))):
+                lengths.append(len(x))
+                bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * len(LANES)), minlength=64 * len(LANES)) & 1
+                parities[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths, pa.int32()), *[pa.array(parities[:, i]) for i in range(len(LANES))]], ["id", "text", "n", *LANES])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(take, f"id {kind}, text string, n int, {', '.join(f'{s} bigint' for s in LANES)}")
+
+
+def may_align(least: float) -> Column:
+    """Whether columns ``n`` and ``LANES`` of one text and those with ``_`` before of another let the two align: each
+    bit in which parities differ tells of at least one word that the two don't share."""
+    longer, shorter = F.greatest("n", "_n"), F.least("n", "_n")
+    most = F.floor(longer * F.lit(1 - least) + F.lit(1e-9))
+    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in LANES), longer - shorter)
+    return (longer - shorter <= most) & (differ <= 2 * most)
+
+
 def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Of ``n`` ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``.
 
@@ -196,7 +229,8 @@ def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR)
     left = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     right = own.join(parts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = left.join(right, ["a", "part"]).join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    both = both.repartition(n // ALIGNED + 1)
+    if 2 * n <= FEW:  # a few pairs are little to deal anew, but long to align in one task
+        both = both.repartition(n // ALIGNED + 1)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,15 +254,18 @@ class _Classes:
         return rows.join(self.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*rows.columns, F.coalesce("component", "rep").alias("c"))
 
     def face(self, pairs: DataFrame) -> None:
-        """Align pairs (``a``, ``b``) not aligned before, and link those that pass."""
+        """Align pairs (``a``, ``b``) not aligned before, but for those that fingerprints rule out, and link those that pass."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        prints = self.texts.select("id", "n", *LANES)
+        pairs = pairs.join(prints.withColumnRenamed("id", "a"), "a").join(prints.select(F.col("id").alias("b"), *[F.col(k).alias(f"_{k}") for k in ("n", *LANES)]), "b")
+        pairs = pairs.where(may_align(self.least)).select("a", "b")
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs, n = packed(pairs, "pairs")
         if not n:
             return
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        new, n = packed(verified(pairs, n, self.texts, self.least).select("a", "b"), "links")
+        new, n = packed(verified(pairs, n, self.texts.select("id", "text"), self.least).select("a", "b"), "links")
         if n:
             self.stars = components(self.stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), "a", "b")
 
@@ -267,7 +304,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         reps = settle(known.groupBy("content").agg(F.min("doc_id").alias("rep")), "reps")
         arrays = known.join(reps.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "keys")
         level = _shared(arrays.select("rep", F.explode("keys").alias("key")), "members")
-        texts = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(level.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+        texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(level.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        texts = settle(fingerprinted(texts), "texts")
         # rows of one id are one document, whatever their texts
         twice = known.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("doc_id")
         links = known.join(twice, "doc_id", "left_semi").join(reps, "content").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -298,20 +336,13 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     in common, repetitions told apart. So, whatever order all words are put in, the two have a word in common among
     their first ``most + 1``. Words of one class alone go first, and are left out: they join no two classes. Rare words
     follow; words of one bin count as one in both respects, which is only a matter of speed. Of the pairs that meet at
-    a word, those go that their lengths or the parities of their words rule out: each bit in which parities differ
-    tells of at least one word that the two don't share.
+    a word, those go that ``may_align`` rules out.
     """
     lose = 1 - classes.least
     crowd, n = packed(crowd, "crowd")
     if not n:
         return
-    texts = settle(classes.texts.join(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), "id"), "crowded")
-
-    def words_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        known = remembered("word hashes", WordHash)
-        for raw in batch.column(1).cast(pa.binary()).to_pylist():
-            words = words_of(raw)
-            yield labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1) if words else np.empty(0, np.uint64)
+    texts = settle(classes.texts.select("id", "text", "n", *LANES).join(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), "id"), "crowded")
 
     def bins_of(x: np.ndarray) -> np.ndarray:
         return (x & np.uint64(BINS - 1)).astype(np.int64)
@@ -319,42 +350,34 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lo, hi = np.zeros(BINS, np.int64), np.full(BINS, np.iinfo(np.int64).max), np.full(BINS, np.iinfo(np.int64).min)
         for batch in batches:
-            for x, c in zip(words_in(batch), batch.column(2).to_pylist()):
+            for x, c in zip(labelled_words(batch.column(0)), batch.column(1).to_pylist()):
                 b = bins_of(x)
                 np.add.at(total, b, 1)
                 lo[b], hi[b] = np.minimum(lo[b], c), np.maximum(hi[b], c)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there]), pa.array(lo[there]), pa.array(hi[there])], ["bin", "n", "lo", "hi"])
 
-    counted = texts.mapInArrow(count, "bin int, n bigint, lo bigint, hi bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = texts.select("text", "c").mapInArrow(count, "bin int, n bigint, lo bigint, hi bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     counted = counted.where("lo < hi").select("bin", F.least("n", F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")).toArrow()
     held = np.zeros(BINS, np.int32)  # 0: of one class alone
     held[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(held)
-    lanes = [f"s{i}" for i in range(LANES)]
 
     def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for batch in batches:
-            lengths, parities, first = [], np.zeros((batch.num_rows, LANES), np.int64), []
-            for i, x in enumerate(words_in(batch)):
-                lengths.append(len(x))
-                bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
-                parities[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            first = []
+            for x in labelled_words(batch.column(1)):
                 rank = common[bins_of(x)]
                 order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1]
                 first.append(x[order[rank[order] > 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), *[pa.array(parities[:, i]) for i in range(LANES)], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *lanes, "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *LANES, "first"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    read = settle(texts.mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in lanes)}, first array<bigint>"), "words")
-    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *lanes, F.explode("first").alias("key")))
-    if not n:
-        return
-    longer, shorter = F.greatest("n", "_n"), F.least("n", "_n")
-    most = F.floor(longer * F.lit(lose) + F.lit(1e-9))
-    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in lanes), longer - shorter)
-    classes.face(_facing(rows, "n", *lanes, where=(longer - shorter <= most) & (differ <= 2 * most)))
+    read = settle(texts.drop("c").mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in LANES)}, first array<bigint>"), "words")
+    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *LANES, F.explode("first").alias("key")))
+    if n:
+        classes.face(_facing(rows, "n", *LANES, where=may_align(classes.least)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
