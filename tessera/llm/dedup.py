@@ -31,6 +31,8 @@ _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
 FEW, ALIGNED = 50_000, 500
 #: Bins that words are counted in, and the 64-bit columns that hold the parities of a text's words.
 BINS, LANES = 1 << 20, [f"s{i}" for i in range(8)]
+#: So many words of a text call for one more word in common with a text it aligns to.
+STRONG = 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -218,16 +220,20 @@ def may_align(least: float) -> Column:
     return (longer - shorter <= most) & (differ <= 2 * most)
 
 
+def _sent(ids: DataFrame, n: int) -> DataFrame:
+    """``ids``, to be sent to the texts where they are few, rather than dealing texts by id."""
+    return F.broadcast(ids) if n <= FEW else ids
+
+
 def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Of ``n`` ``pairs`` (``a``, ``b``) those whose ``texts`` (``id``, ``text``) align to ``least`` or more, with ``similarity``.
 
     An ``a`` of many pairs is dealt to a task for each ``ALIGNED`` of them, so no task has all pairs of one text."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # so few ids that sending them to the texts is cheaper than dealing the texts by id
-    own = packed(texts.join(F.broadcast(wanted) if 2 * n <= FEW else wanted, "id", "left_semi"), "texts")[0]
+    wanted, ids = packed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    own = packed(texts.join(_sent(wanted, ids), "id", "left_semi"), "texts")[0]
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ALIGNED).cast("int").alias("parts"))
     left = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    right = own.join(parts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = own.join(_sent(parts, ids).withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = left.join(right, ["a", "part"]).join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     if 2 * n <= FEW:  # a few pairs are little to deal anew, but long to align in one task
         both = both.repartition(n // ALIGNED + 1)
@@ -320,21 +326,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return keep(settle(found, "classes"))
 
 
-def _facing(rows: DataFrame, *carried: str, where: Column | None = None) -> DataFrame:
-    """Pairs (``a``, ``b``) of rows of one key and two classes that meet ``where``, said of columns ``carried``, which
-    the first row has as they are and the second with a ``_`` before."""
-    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), *carried)
-    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in carried])
-    met = F.expr("ca <> cb and (main or a < b)")
-    return x.join(y, "key").where(met if where is None else met & where).select("a", "b")
+def _facing(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of two classes that have enough keys in common and may align."""
+    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), "n", *LANES)
+    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in ("n", *LANES)])
+    met = x.join(y, "key").where(F.expr("ca <> cb and (main or a < b)") & may_align(least))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.floor(F.least("n", "_n") / STRONG) + 1).alias("k"))
+    return met.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("keys")).where("keys >= k").select("a", "b")
 
 
 def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     """Align every two texts of ``crowd`` (``rep``, ``c``: its class) of two classes that can reach the similarity asked for.
 
     A text of n words may lose ``most``, a share of n; a pair that aligns has all but ``most`` words of the longer one
-    in common, repetitions told apart. So, whatever order all words are put in, the two have a word in common among
-    their first ``most + 1``. Words of one class alone go first, and are left out: they join no two classes. Rare words
+    in common, repetitions told apart. So, whatever order all words are put in, the two have ``k`` words in common among
+    their first ``most + k``; ``k`` is 1, and 1 more for each ``STRONG`` words of the shorter text. Words of one class alone go first, and are left out: they join no two classes. Rare words
     follow; words of one bin count as one in both respects, which is only a matter of speed. Of the pairs that meet at
     a word, those go that ``may_align`` rules out.
     """
@@ -342,7 +348,7 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     crowd, n = packed(crowd, "crowd")
     if not n:
         return
-    texts = settle(classes.texts.select("id", "text", "n", *LANES).join(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), "id"), "crowded")
+    texts = settle(classes.texts.join(_sent(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), n), "id").select("id", "text", "c", "n", *LANES), "crowded")
 
     def bins_of(x: np.ndarray) -> np.ndarray:
         return (x & np.uint64(BINS - 1)).astype(np.int64)
@@ -369,7 +375,7 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
             first = []
             for x in labelled_words(batch.column(1)):
                 rank = common[bins_of(x)]
-                order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1]
+                order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1 + len(x) // STRONG]
                 first.append(x[order[rank[order] > 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *LANES, "first"])
 
@@ -377,7 +383,7 @@ def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     read = settle(texts.drop("c").mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in LANES)}, first array<bigint>"), "words")
     rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *LANES, F.explode("first").alias("key")))
     if n:
-        classes.face(_facing(rows, "n", *LANES, where=may_align(classes.least)))
+        classes.face(_facing(rows, classes.least))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
