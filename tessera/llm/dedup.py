@@ -27,6 +27,8 @@ _RNG = np.random.default_rng(20240229)
 _STEP = _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _RNG.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
+#: Members of a sketch, outside its largest class, that face all others one by one rather than by their rarest words.
+MINORS = 12
 #: Ids that are sent to the texts rather than dealt with them; pairs of one leader that one task aligns.
 FEW, ALIGNED = 50_000, 500
 #: Bins that words are counted in, and the 64-bit columns that hold the parities of a text's words.
@@ -187,24 +189,12 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     return given.mapInArrow(scan, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, content binary, keys array<bigint>")
 
 
-def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Hashes of each text's words, in text order."""
+def labelled_words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, told apart by their occurrence."""
     known = remembered("word hashes", WordHash)
     for raw in texts.cast(pa.binary()).to_pylist():
         words = words_of(raw)
-        yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def grams_of(hashes: np.ndarray) -> dict[int, np.ndarray]:
-    """What a text meets others by, told apart by occurrence: its word pairs (2), and, if most of these are repetitions,
-    its words (1) too, by which it meets other such texts."""
-    if len(hashes) < 2:
-        return {k: labelled_kmers(hashes, 1) if len(hashes) else hashes for k in (1, 2)}
-    pairs = hashes[:-1] * _STEP[0] + hashes[1:] * _STEP[1]
-    out = {2: labelled_kmers(hashes, 2)}
-    if 2 * len(np.unique(pairs)) < len(pairs):
-        out[1] = labelled_kmers(hashes, 1)
-    return out
+        yield labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1) if words else np.empty(0, np.uint64)
 
 
 def fingerprinted(texts: DataFrame) -> DataFrame:
@@ -213,8 +203,7 @@ def fingerprinted(texts: DataFrame) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, parities = [], np.zeros((batch.num_rows, len(LANES)), np.int64)
-            for i, hashes in enumerate(word_hashes(batch.column(1))):
-                x = labelled_kmers(hashes, 1) if len(hashes) else hashes
+            for i, x in enumerate(labelled_words(batch.column(1))):
                 lengths.append(len(x))
                 bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * len(LANES)), minlength=64 * len(LANES)) & 1
                 parities[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
@@ -261,9 +250,6 @@ def verified(pairs: DataFrame, n: int, texts: DataFrame, least: float = SIMILAR)
     return both.mapInArrow(align, f"a {kind}, b {kind}, similarity double")
 
 
-GRAMS = pa.list_(pa.struct([("by", pa.int32()), ("gram", pa.int64())]))
-
-
 class _Classes:
     """Links found so far, as the stars of their components, and the pairs already aligned."""
 
@@ -299,9 +285,10 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _mixed(named: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of keys that several classes hold: with ``main`` (the row's class is the key's largest)."""
-    held = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    held = held.where("classes > 1").select("key", F.col("most.c").alias("major"))
+    """Rows of keys that several classes hold: with ``main`` (the row's class is the key's largest) and ``minors`` (how
+    many rows of the key are of another)."""
+    held = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    held = held.where("classes > 1").select("key", F.col("most.c").alias("major"), (F.col("all") - F.col("most.n")).alias("minors"))
     return packed(named.join(held, "key").withColumn("main", F.col("c") == F.col("major")).drop("major"), "mixed")
 
 
@@ -309,11 +296,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, ``class_id`` for every row of ``docs``: the least id of its class of near-duplicates.
 
     Two texts are linked if the alignment of their words reaches ``least``; classes are connected by links. Candidates
-    share one of ``SKETCHES`` sketches. First the least id of each sketch faces the others. Every text of a sketch that
-    then still holds several classes, however large, as with a passage that dissimilar texts share, goes on to meet all
-    such texts by rarest word pairs (``_face_by_grams``), which misses no pair of them that aligns. All of it are joins that
-    can be split; no sketch is gathered in one task, and none is dropped or capped. What is missed are pairs without a
-    sketch in common: see ``SKETCHES``.
+    share one of ``SKETCHES`` sketches. First the least id of each sketch faces the others. Where a sketch then still
+    holds several classes, members outside its largest one face all others, if they are few. If they are many, as with
+    a passage that dissimilar texts share, its members meet by their rarest words (``_face_by_words``), which misses no
+    pair of them that aligns either. All of it are joins that can be split; no sketch is gathered in one task, and none
+    is dropped or capped. What is missed are pairs without a sketch in common: see ``SKETCHES``.
 
     Rows of one id are one document. Texts without words (null, empty, punctuation) are alone in their class, rows
     with a null id have a null class; repeated rows each get their row; an empty table gives none.
@@ -334,9 +321,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         classes = _Classes(links, texts, least)
         leaders = level.groupBy("key").agg(F.min("rep").alias("a"))
         classes.face(level.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")))
-        named = settle(classes.named(level), "named")
-        several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        _face_by_grams(named.join(several, "key", "left_semi").select("rep", "c").distinct(), classes)
+        mixed, n = _mixed(classes.named(level))
+        if n:
+            few = mixed.where(F.col("minors") <= MINORS)
+            x, y = few.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main")
+            classes.face(x.join(y, "key").where("ca <> cb and (main or a < b)").select("a", "b"))
+            crowd = mixed.where(F.col("minors") > MINORS).select("rep").distinct()
+            _face_by_words(classes.named(crowd), classes)
         found = sketched.select("doc_id", "content").join(reps, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
         found = found.join(classes.stars.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
         return keep(settle(found, "classes"))
@@ -344,23 +335,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _facing(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (``a``, ``b``) of two classes that have enough keys in common and may align."""
-    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), "n", "loops", *LANES)
-    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in ("n", "loops", *LANES)])
-    met = x.join(y, "key").where(F.expr("ca <> cb and (main or a < b) and (key.by = 1) = (loops and _loops)") & may_align(least))
+    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), "n", *LANES)
+    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in ("n", *LANES)])
+    met = x.join(y, "key").where(F.expr("ca <> cb and (main or a < b)") & may_align(least))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.floor(F.least("n", "_n") / STRONG) + 1).alias("k"))
     return met.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("keys")).where("keys >= k").select("a", "b")
 
 
-def _face_by_grams(crowd: DataFrame, classes: _Classes) -> None:
+def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     """Align every two texts of ``crowd`` (``rep``, ``c``: its class) of two classes that can reach the similarity asked for.
 
     A text of n words may lose ``most``, a share of n; a pair that aligns has all but ``most`` words of the longer one
-    in common, and all but 2 ``most`` of its word pairs (the shorter's: and 1 more), repetitions told apart. So, whatever order all word pairs are
-    put in, the two have ``k`` in common among their first 2 ``most`` + 1 + ``k``; likewise words, ``most + k``. ``k`` is 1, and 1
-    more for each ``STRONG`` words of the shorter text. Two texts meet by words if both mostly repeat themselves (a line
-    many times over), else by word pairs, which are rarer. Those of one class alone go first, and are left out: they
-    join no two classes. Rare ones follow; those of one bin count as one in both respects, which is only a matter of
-    speed. Of the pairs that meet, those go that ``may_align`` rules out.
+    in common, repetitions told apart. So, whatever order all words are put in, the two have ``k`` words in common among
+    their first ``most + k``; ``k`` is 1, and 1 more for each ``STRONG`` words of the shorter text. Words of one class alone go first, and are left out: they join no two classes. Rare words
+    follow; words of one bin count as one in both respects, which is only a matter of speed. Of the pairs that meet at
+    a word, those go that ``may_align`` rules out.
     """
     lose = 1 - classes.least
     crowd, n = packed(crowd, "crowd")
@@ -374,8 +363,8 @@ def _face_by_grams(crowd: DataFrame, classes: _Classes) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lo, hi = np.zeros(BINS, np.int64), np.full(BINS, np.iinfo(np.int64).max), np.full(BINS, np.iinfo(np.int64).min)
         for batch in batches:
-            for hashes, c in zip(word_hashes(batch.column(0)), batch.column(1).to_pylist()):
-                b = bins_of(np.concatenate(list(grams_of(hashes).values())))
+            for x, c in zip(labelled_words(batch.column(0)), batch.column(1).to_pylist()):
+                b = bins_of(x)
                 np.add.at(total, b, 1)
                 lo[b], hi[b] = np.minimum(lo[b], c), np.maximum(hi[b], c)
         there = np.flatnonzero(total)
@@ -390,20 +379,16 @@ def _face_by_grams(crowd: DataFrame, classes: _Classes) -> None:
     def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for batch in batches:
-            first, loops = [], []
-            for hashes in word_hashes(batch.column(1)):
-                grams, out = grams_of(hashes), []
-                for k, x in grams.items():
-                    rank = common[bins_of(x)]
-                    order = np.lexsort((x, rank))[: k * int(len(hashes) * lose + 1e-9) + k + len(hashes) // STRONG]
-                    out += [{"by": k, "gram": g} for g in x[order[rank[order] > 0]].view(np.int64).tolist()]
-                first.append(out)
-                loops.append(1 in grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(loops, pa.bool_()), pa.array(first, GRAMS)], ["rep", "n", *LANES, "loops", "first"])
+            first = []
+            for x in labelled_words(batch.column(1)):
+                rank = common[bins_of(x)]
+                order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1 + len(x) // STRONG]
+                first.append(x[order[rank[order] > 0]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *LANES, "first"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    read = settle(texts.drop("c").mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in LANES)}, loops boolean, first array<struct<by:int,gram:bigint>>"), "words")
-    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", "loops", *LANES, F.explode("first").alias("key")))
+    read = settle(texts.drop("c").mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in LANES)}, first array<bigint>"), "words")
+    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *LANES, F.explode("first").alias("key")))
     if n:
         classes.face(_facing(rows, classes.least))
 
