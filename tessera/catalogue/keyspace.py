@@ -61,7 +61,7 @@ command("zset_count", f"select count(*) as reply from {scores_of('Z:view')} wher
 of("zset_pop_min", lambda s: run(s, "ZPOPMIN", "Z:click", 3).reply, f"select row_number() over (order by score, member) - 1 as rank, member, score from {scores_of('Z:click')} qualify rank < 3")
 of("zset_pop_max_left", lambda s: run(run(s, "ZPOPMAX", "Z:click", 3).space, "ZCARD", "Z:click"), f"select greatest(count(*) - 3, 0) as reply from {scores_of('Z:click')}")
 of("zset_remove_range", lambda s: run(run(s, "ZREMRANGEBYSCORE", "Z:view", "-inf", "(150").space, "ZRANGE", "Z:view", 0, -1), f"select member, score from {scores_of('Z:view')} where score >= 150")
-of("zset_add", lambda s: run(run(s, "ZADD", "Z:view", "GT", "CH", 1, "1", 1e6, "2", 5, "fresh").space, "ZMSCORE", "Z:view", "1", "2", "fresh"), f"select i as at, m as member, case m when '2' then 1e6 when 'fresh' then 5 else (select max(score) from {scores_of('Z:view')} where member = '1') end as score from (values (0, '1'), (1, '2'), (2, 'fresh')) t(i, m)")
+of("zset_add", lambda s: run(run(s, "ZADD", "Z:view", "GT", "CH", 1, "1", 1e6, "2", 5, "fresh").space, "ZMSCORE", "Z:view", "1", "2", "fresh"), f"select i as at, m as member, case m when '2' then 1e6 when 'fresh' then 5 else coalesce((select max(score) from {scores_of('Z:view')} where member = '1'), 1) end as score from (values (0, '1'), (1, '2'), (2, 'fresh')) t(i, m)")
 
 # ---- lists
 
@@ -95,7 +95,69 @@ of("ttl_live", lambda s: other(s).live().select("key", "type", "expire_ms"), f"s
 of("ttl_left", lambda s: other(s).live().select("key", keys.time_left(s, 1000, False).alias("ttl")), f"select key, case when expire_ms = 0 then -1 else cast(floor((expire_ms - {NOW_MS} + 500) / 1000) as bigint) end as ttl from {LIVE}")
 of("keystats", lambda s: keys.keystats(other(s)), f"select type, count(*) as keys, count(*) filter (where expire_ms <> 0) as expiring from {LIVE} group by 1")
 of("keys_glob", lambda s: run(other(s), "KEYS", "E:1?[0-4]"), f"select key from {LIVE} where regexp_matches(key, '^E:1.[0-4]$')")
-of("key_scan", lambda s: run(s, "SCAN", "D:2", "COUNT", 50, "MATCH", "D:*"), "select key from (select 'D:' || doc_id as key from documents union all select 'G:places' union all select distinct 'H:' || c_custkey from customer union all select distinct 'L:' || conv_id from conversations union all select distinct 'S:' || event_type from events where value >= 100 union all select distinct 'Z:' || event_type from events where value >= 100) where key > 'D:2' order by key limit 50")
+of("key_scan", lambda s: run(s, "SCAN", "D:2", "COUNT", 50, "MATCH", "D:*"), "select key from (select 'D:' || doc_id as key from documents union all select 'G:places' union all select distinct 'H:' || c_custkey from customer union all select distinct 'L:' || conv_id from conversations union all select distinct 'S:' || event_type from events union all select distinct 'Z:' || event_type from events) where key > 'D:2' order by key limit 50")
+
+# ---- more commands, one each
+
+HELD = "(select unnest(['name', 'nation', 'segment']) as field, unnest([c_name, cast(c_nationkey as varchar), c_mktsegment]) as value from customer where c_custkey = 7)"
+COUNT_OF = "select count(*) as reply from ({})"
+
+
+def after(name: str, write: tuple[object, ...], read: tuple[object, ...], sql: str) -> None:
+    """What a reading command finds after a writing one."""
+    of(name, lambda s: run(run(s, *write).space, *read), sql)
+
+
+def reply(name: str, words: tuple[object, ...], sql: str) -> None:
+    """A writing command's reply."""
+    of(name, lambda s: run(s, *words).reply, sql)
+
+
+command("hash_mget", f"select i as at, f as field, value from (values (0, 'segment'), (1, 'none'), (2, 'name')) t(i, f) left join {HELD} on field = f", "HMGET", "H:7", "segment", "none", "name")
+command("hash_len", COUNT_OF.format(f"from {HELD}"), "HLEN", "H:7")
+command("hash_exists", COUNT_OF.format(f"from {HELD} where field = 'segment'"), "HEXISTS", "H:7", "segment")
+command("hash_strlen", f"select octet_length(encode(value)) as reply from {HELD} where field = 'name'", "HSTRLEN", "H:7", "name")
+command("hash_keys", f"select field from {HELD}", "HKEYS", "H:7")
+command("hash_vals", f"select value from {HELD}", "HVALS", "H:7")
+after("hash_mset", ("HMSET", "H:7", "name", "n", "z", "1"), ("HGETALL", "H:7"), f"select field, case when field = 'name' then 'n' else value end as value from {HELD} union all select 'z', '1'")
+after("hash_setnx", ("HSETNX", "H:7", "name", "other"), ("HGET", "H:7", "name"), f"select value as reply from {HELD} where field = 'name'")
+after("hash_incrby_float", ("HINCRBYFLOAT", "H:7", "nation", "0.5"), ("HGET", "H:7", "nation"), f"select value || '.5' as reply from {HELD} where field = 'nation'")
+
+command("set_is_member", COUNT_OF.format(f"{member_of('S:view')} and member = '1'"), "SISMEMBER", "S:view", "1")
+after("set_union_store", ("SUNIONSTORE", "S:all", "S:view", "S:click"), ("SCARD", "S:all"), COUNT_OF.format(f"{member_of('S:view')} union {member_of('S:click')}"))
+after("set_diff_store", ("SDIFFSTORE", "S:only", "S:view", "S:click"), ("SMEMBERS", "S:only"), f"{member_of('S:view')} except {member_of('S:click')}")
+after("set_pop", ("SPOP", "S:view", 3), ("SCARD", "S:view"), f"select greatest(count(*) - 3, 0) as reply from ({member_of('S:view')})")
+after("set_move", ("SMOVE", "S:view", "S:new", "1"), ("SMEMBERS", "S:new"), f"{member_of('S:view')} and member = '1'")
+
+command("zset_score", f"select score as reply from {scores_of('Z:view')} where member = '7'", "ZSCORE", "Z:view", "7")
+command("zset_lex_count", COUNT_OF.format(f"from {scores_of('Z:click')} where member >= '10' and member < '2'"), "ZLEXCOUNT", "Z:click", "[10", "(2")
+command("zset_range_by_lex", f"select member, score from {scores_of('Z:click')} where member > '3'", "ZRANGEBYLEX", "Z:click", "(3", "+")
+command("zset_reverse_by_lex", f"select member, score from {scores_of('Z:click')} where member <= '3'", "ZREVRANGEBYLEX", "Z:click", "[3", "-")
+command("zset_reverse_by_score", f"select member, score from {scores_of('Z:view')} where score >= 120 and score <= 300", "ZREVRANGEBYSCORE", "Z:view", 300, 120)
+after("zset_rem", ("ZREM", "Z:view", "1", "2", "none"), ("ZRANGE", "Z:view", 0, -1), f"select member, score from {scores_of('Z:view')} where member not in ('1', '2')")
+after("zset_incrby", ("ZINCRBY", "Z:view", 2.5, "7"), ("ZSCORE", "Z:view", "7"), f"select coalesce((select score from {scores_of('Z:view')} where member = '7'), 0) + 2.5 as reply")
+after("zset_remove_by_rank", ("ZREMRANGEBYRANK", "Z:view", 0, -3), ("ZRANGE", "Z:view", 0, -1), f"select member, score from {scores_of('Z:view')} order by score desc, member desc limit 2")
+after("zset_remove_by_lex", ("ZREMRANGEBYLEX", "Z:view", "-", "(3"), ("ZRANGE", "Z:view", 0, -1), f"select member, score from {scores_of('Z:view')} where member >= '3'")
+after("zset_range_store", ("ZRANGESTORE", "Z:low", "Z:view", 0, 4), ("ZRANGE", "Z:low", 0, -1), f"select member, score from {scores_of('Z:view')} order by score, member limit 5")
+after("zset_union_store", ("ZUNIONSTORE", "Z:all", 2, "Z:view", "Z:click"), ("ZCARD", "Z:all"), COUNT_OF.format(f"select member from {scores_of('Z:view')} union select member from {scores_of('Z:click')}"))
+after("zset_inter_store", ("ZINTERSTORE", "Z:both", 2, "Z:view", "Z:click"), ("ZCARD", "Z:both"), COUNT_OF.format(f"select member from {scores_of('Z:view')} intersect select member from {scores_of('Z:click')}"))
+after("zset_diff_store", ("ZDIFFSTORE", "Z:only", 2, "Z:view", "Z:click"), ("ZRANGE", "Z:only", 0, -1), f"select member, score from {scores_of('Z:view')} where member not in (select member from {scores_of('Z:click')})")
+
+command("list_index", f"select value as reply from {PLACED} where key = 'L:1' and pos = n - 1", "LINDEX", "L:1", -1)
+command("list_len", COUNT_OF.format(f"from {LISTS} where key = 'L:1'"), "LLEN", "L:1")
+reply("list_pop_left", ("LPOP", "L:1", 2), f"select pos as at, value from {PLACED} where key = 'L:1' and pos < 2")
+after("list_push_right", ("RPUSHX", "L:1", "end"), ("LRANGE", "L:1", -1, -1), "select count(*) as pos, 'end' as value from conversations where conv_id = 1")
+after("list_rotate", ("RPOPLPUSH", "L:1", "L:new"), ("LRANGE", "L:new", 0, -1), f"select 0 as pos, value from {PLACED} where key = 'L:1' and pos = n - 1")
+
+command("str_get", "select text as reply from documents where doc_id = 5", "GET", "D:5")
+reply("str_get_set", ("GETSET", "D:5", "x"), "select text as reply from documents where doc_id = 5")
+after("str_set_ex", ("SETEX", "D:5", 9, "x"), ("PTTL", "D:5"), "select 9000 as reply")
+after("str_decr", ("DECRBY", "n", 7), ("GET", "n"), "select '-7' as reply")
+after("key_delete", ("DEL", "D:5", "D:6", "none"), ("EXISTS", "D:5", "D:7"), "select count(*) as reply from documents where doc_id = 7")
+after("key_unlink", ("UNLINK", "S:view"), ("TYPE", "S:view"), "select 'none' as reply")
+after("key_rename", ("RENAME", "S:view", "S:seen"), ("SCARD", "S:seen"), COUNT_OF.format(member_of("S:view")))
+command("key_exists", "select (select count(*) from documents where doc_id = 5) * 2 as reply", "EXISTS", "D:5", "D:5", "none")
+after("key_expire_time", ("PEXPIREAT", "D:5", NOW_MS + 5000), ("PEXPIRETIME", "D:5"), f"select {NOW_MS + 5000} as reply")
 
 # ---- places
 

@@ -345,6 +345,13 @@ def modulo(x: object) -> Callable[[Value], Column]:
 REGEX_PARTS = re.compile(r"\\(.)|\[\^?\]?(?:\\.|[^\]])*\]|\(\?(?:<?[=!]|>)|[*+?}]\+", re.DOTALL)
 
 
+# Named classes and their Java names.
+JAVA_CLASSES = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
+}
+
+
 def refused_part(pattern: str) -> str | None:
     """The first part of a pattern that isn't supported: look-around, a back-reference, an atomic or possessive repeat."""
     for m in REGEX_PARTS.finditer(pattern):
@@ -374,8 +381,54 @@ def java_regex(x: Regex) -> str:
         raise bad("Regular expression cannot contain an embedded null byte", BAD_REGEX)
     if refused := refused_part(x.pattern):
         raise bad(f"Regular expression is invalid: {refused} is not supported", BAD_REGEX)
-    flags = "".join(dict.fromkeys(o for o in x.options if o in "imsx"))
-    return (f"(?{flags})" if flags else "") + x.pattern.replace("(?P<", "(?<")
+    flags = "d" + "".join({"i": "iu"}.get(o, o) for o in dict.fromkeys(x.options) if o in "ims")
+    return f"(?{flags})" + _java_parts(x.pattern.replace("(?P<", "(?<"), "m" in x.options, "x" in x.options)
+
+def _java_parts(pattern: str, lines: bool, spaced: bool) -> str:
+    """The pattern in Java's writing: an end is the very end of the text, or of a line with ``lines``; within a class
+    only escapes, ranges and named classes are special; blanks and comments go with ``spaced``, but not within classes."""
+    out, i, n = [], 0, len(pattern)
+    while i < n:
+        c = pattern[i]
+        if c == "\\" and i + 1 < n:
+            out.append(pattern[i : i + 2])
+            i += 2
+        elif c == "[":
+            end, part = _java_class(pattern, i)
+            out.append(part)
+            i = end
+        elif spaced and c.isspace():
+            i += 1
+        elif spaced and c == "#":
+            while i < n and pattern[i] != "\n":
+                i += 1
+        else:
+            out.append(r"\z" if c == "$" and not lines else c)
+            i += 1
+    return "".join(out)
+
+def _java_class(pattern: str, at: int) -> tuple[int, str]:
+    """Where a class that begins at ``at`` ends, and its Java form."""
+    out, i, n = ["["], at + 1, len(pattern)
+    if pattern[i : i + 1] == "^":
+        out.append("^")
+        i += 1
+    first = True
+    while i < n and (pattern[i] != "]" or first):
+        named = re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:])
+        if named and named.group(2) in JAVA_CLASSES:
+            out.append(r"\%s{%s}" % ("P" if named.group(1) else "p", JAVA_CLASSES[named.group(2)]))
+            i += named.end()
+        elif pattern[i] == "\\" and i + 1 < n:
+            out.append(pattern[i : i + 2])
+            i += 2
+        else:
+            out.append("\\" + pattern[i] if pattern[i] in "[]&# " else pattern[i])
+            i += 1
+        first = False
+    if i >= n:
+        raise bad("Regular expression is invalid: missing closing ]", BAD_REGEX)
+    return i + 1, "".join(out) + "]"
 
 def literal_prefix(x: Regex) -> str:
     """Characters that every match of an anchored pattern begins with, for the scan to prune by."""

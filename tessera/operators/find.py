@@ -116,7 +116,8 @@ def split_near(spec: dict) -> tuple[dict, str | None, str | None, object]:
 
 
 def find(df: DataFrame, filter: object = None, sort: object = None, skip: int = 0, limit: int = 0, projection: object = None) -> DataFrame:
-    """Rows that meet a filter, sorted, skipped, limited and projected, in that order; by ``_id`` without a sort.
+    """Rows that meet a filter, sorted, skipped, limited and projected, in that order. Without a sort rows come in no order, save
+    that skip and limit count them by ``_id``.
 
     A near condition in the filter orders rows by distance and can't go with a sort.
     """
@@ -137,7 +138,7 @@ def find(df: DataFrame, filter: object = None, sort: object = None, skip: int =
         f = stages.limit(f, limit)
     if projection:
         f = projection_of(f, projection)
-    return finish(f.but(sorted=True))
+    return finish(f.but(sorted=True) if sort or skip or limit or field is not None else f)
 
 
 def find_one(df: DataFrame, filter: object = None, sort: object = None, projection: object = None) -> DataFrame:

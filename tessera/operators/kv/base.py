@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ class KeySpace:
     zset: DataFrame
     db: int = 0
     now_ms: int = 0
+    #: Types of keys looked up so far, None for those that aren't there. Each space has its own.
+    known: dict = field(default_factory=dict, init=False, compare=False, repr=False)
 
     @staticmethod
     def empty(spark: SparkSession, now_ms: int = 0) -> "KeySpace":
@@ -69,8 +71,16 @@ class KeySpace:
 
     def type_of(self, key: str) -> str | None:
         """A live key's type; None if there is none."""
-        row = self.live().where(F.col("key") == key).select("type").first()
-        return row[0] if row else None
+        if key not in self.known:
+            self.learn([key])
+        return self.known[key]
+
+    def learn(self, keys: list[str]) -> None:
+        """Look up the types of the keys that a command names, in one job."""
+        left = list(dict.fromkeys(k for k in keys if k not in self.known))
+        if left:
+            found = {r[0]: r[1] for r in self.live().where(F.col("key").isin(left)).select("key", "type").collect()}
+            self.known.update({k: found.get(k) for k in left})
 
     def check(self, key: str, kind: str, *more: str) -> str | None:
         found = self.type_of(key)
@@ -195,7 +205,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out.append(quote(c))
         i += 1
-    return f"(?s)^{''.join(out)}$"
+    return f"(?s)^{''.join(out)}(?!.)"
 
 
 def matches(column: Column, pattern: str | None) -> Column:

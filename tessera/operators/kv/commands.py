@@ -48,4 +48,6 @@ def run(space: KeySpace, name: str, *args: object) -> DataFrame | Written:
     words = len(args) + 1
     if words != arity if arity > 0 else words < -arity:
         raise fail(f"wrong number of arguments for '{name.lower()}' command")
+    if command.__module__ != keys.__name__:
+        space.learn([a for a in args if isinstance(a, str)])
     return command(space, *args)

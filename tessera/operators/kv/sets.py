@@ -48,7 +48,7 @@ def spop(s: KeySpace, key: str, count: object = None, seed: int = 0) -> Written:
     if n < 0:
         raise fail("value is out of range, must be positive")
     rows = members(s, key)
-    popped = s.spark.createDataFrame([(r[0],) for r in rows.orderBy(F.rand(seed)).limit(n).collect()], "member string")
+    popped = rows.orderBy(F.xxhash64("member", F.lit(seed)), "member").limit(n)
     return Written(s.put("set", key, rows.join(popped, "member", "left_anti")), popped)
 
 

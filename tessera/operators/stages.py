@@ -308,14 +308,27 @@ def group(f: Frame, key: object, fields: dict[str, tuple[str, object]]) -> Frame
     """One row a key, a missing key being null; no rows of no rows, even for a constant key."""
     k = compile_expr(key, f.root, f.wide)
     by = k.col.cast("string") if k.missing or isinstance(k.type, T.NullType) else k.col
-    aggregates = [_accumulate(f, op, compile_expr(x, f.root, f.wide) if op != "$count" else None).alias(name) for name, (op, x) in fields.items()]
+    values = {name: compile_expr(x, f.root, f.wide) if op != "$count" else None for name, (op, x) in fields.items()}
+    sets = {name: values[name] for name, (op, _) in fields.items() if op == "$addToSet" and f.order and all(up for _, up in f.order) and not values[name].missing and class_of(values[name].type) != "null"}
+    aggregates = [_accumulate(f, op, values[name]).alias(name) for name, (op, x) in fields.items() if name not in sets]
     # a constant is no grouping column to the engine below, so it is made one
     keyed = f.df.withColumn("__key", by)
-    df = keyed.groupBy("__key").agg(*(aggregates or [F.count(F.lit(1)).alias("__n")])).withColumnRenamed("__key", ID)
+    df = keyed.groupBy("__key").agg(*(aggregates or [F.count(F.lit(1)).alias("__n")]))
+    for name, x in sets.items():
+        df = df.join(_distinct_values(f, keyed, x.col).select(F.col("__key").alias("__k"), F.col("__set").alias(name)), F.col("__key").eqNullSafe(F.col("__k")), "left").drop("__k").withColumn(name, F.coalesce(quoted(name), F.array().cast(T.ArrayType(x.type))))
+    df = df.withColumnRenamed("__key", ID)
     df = df.select(ID, *[quoted(n) for n in fields]).withColumn("__o0", quoted(ID))
     return Frame(df, [("__o0", True)], wide=f.wide, hidden=1)
 
 
+def _distinct_values(f: Frame, keyed: DataFrame, col: Column) -> DataFrame:
+    """``__key``, ``__set``: a group's distinct values, in the order of their first rows; repetitions go before values
+    are gathered, so a group of many rows and few values is small."""
+    once = keyed.select("__key", col.alias("__v"), F.struct(*[F.col(n) for n, _ in f.order]).alias("__at")).where("__v is not null")
+    once = once.groupBy("__key", "__v").agg(F.min("__at").alias("__at"))
+    return once.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"]).alias("__set"))
+
+
 def _accumulate(f: Frame, op: str, v: Value | None) -> Column:
     if op == "$count":
         return F.count(F.lit(1))

@@ -58,7 +58,7 @@ def key_space(spark: SparkSession, sf_dir: str):
 
     db = F.lit(0).alias("db")
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias("key")
-    events = table(spark, sf_dir, "events").where("value >= 100")
+    events = table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string").alias("member")
     sets = events.select(db, text("S:", "event_type"), user).distinct()
     scores = events.groupBy(text("Z:", "event_type"), user).agg(F.max("value").alias("score")).withColumn("db", F.lit(0))
@@ -79,7 +79,7 @@ def key_space(spark: SparkSession, sf_dir: str):
     return KeySpace.of(spark, NOW_MS, set=sets, zset=scores.unionByName(places), hash=fields, list=lists, meta=strings.unionByName(expiring))
 
 
-SETS = "(select distinct 'S:' || event_type as key, cast(user_id as varchar) as member from events where value >= 100)"
-SCORES = "(select 'Z:' || event_type as key, cast(user_id as varchar) as member, max(value) as score from events where value >= 100 group by 1, 2)"
+SETS = "(select distinct 'S:' || event_type as key, cast(user_id as varchar) as member from events)"
+SCORES = "(select 'Z:' || event_type as key, cast(user_id as varchar) as member, max(value) as score from events group by 1, 2)"
 LISTS = "(select 'L:' || conv_id as key, turn as idx, role as value from conversations)"
 EXPIRING = "(select 'E:' || event_id as key, case when event_id % 5 = 0 then 'hash' when event_id % 5 = 1 then 'zset' else 'string' end as type, case when event_id % 4 = 0 then 0 else cast(floor(epoch_us(ts) / 1000) as bigint) + event_id % 3 * 3600000 end as expire_ms from events)"

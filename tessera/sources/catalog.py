@@ -83,17 +83,22 @@ class Catalog:
         return f"{self.root}/{name}/v{version}"
 
     def _write(self, name: str, rows: DataFrame) -> None:
+        """A new version, if it keeps the unique indexes; rows without any of a sparse index's keys don't count for it."""
         c = self._get(name)
+        for i in c.indexes:
+            if i.unique and not self._twice(rows, i).isEmpty():
+                raise QueryError(11000, f"E11000 duplicate key error collection: {name} index: {i.name}")
         keys = [k for k, _ in c.indexes[0].keys if "." not in k] if c.indexes else []
         out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys and all(k in rows.columns for k in keys) else rows
         out.write.mode("errorifexists").parquet(self._path(name, c.version + 1))
         c.version += 1
 
     def read(self, name: str, lease: int | None = None) -> DataFrame:
-        """The newest version, or the one that a lease holds."""
-        version = self._lease(lease).versions.get(name, 0) if lease is not None else self._get(name).version
+        """The newest version, or the one that a lease holds; no rows of a collection that isn't there or was never written."""
+        known = self.collections.get(name)
+        version = self._lease(lease).versions.get(name, 0) if lease is not None else known.version if known else 0
         if not version:
-            raise QueryError(26, f"ns not found: {name}")
+            return self.spark.createDataFrame([], "_id bigint")
         return self.spark.read.parquet(self._path(name, version))
 
     # ---- indexes, as layouts
@@ -109,9 +114,10 @@ class Catalog:
             return label
         if len(c.indexes) >= 64:
             raise bad("too many indexes")
-        if unique and c.version and not self.duplicates(name, list(keys)).isEmpty():
+        index = Index(label, list(keys.items()), unique, sparse)
+        if unique and c.version and not self._twice(self.read(name), index).isEmpty():
             raise QueryError(11000, f"E11000 duplicate key error collection: {name} index: {label}")
-        c.indexes.append(Index(label, list(keys.items()), unique, sparse))
+        c.indexes.append(index)
         if c.version and len(c.indexes) == 1:
             self._write(name, self.read(name))
         return label
@@ -126,6 +132,13 @@ class Catalog:
     def indexes(self, name: str) -> list[Index]:
         return list(self._get(name).indexes)
 
+    @staticmethod
+    def _twice(rows: DataFrame, index: Index) -> DataFrame:
+        """Keys of a unique index that several rows hold; a column that the rows lack is null in all."""
+        cols = [F.col(k) if k.split(".")[0] in rows.columns else F.lit(None).cast("string") for k, _ in index.keys]
+        held = rows.where(F.coalesce(*[c.cast("string") for c in cols]).isNotNull()) if index.sparse else rows
+        return held.select(*[c.alias(f"k{i}") for i, c in enumerate(cols)]).groupBy(*[f"k{i}" for i in range(len(cols))]).count().where("count > 1")
+
     def duplicates(self, name: str, keys: list[str]) -> DataFrame:
         """Key values that several rows hold."""
         return self.read(name).groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -192,22 +205,26 @@ class Catalog:
 
 
 class Cursor:
-    """Pages of a result in order of a unique key: each page is a query for the rows past the last one seen, so a
-    cursor holds nothing open and goes on after any failure."""
+    """Pages of a result in order of a key, nulls first: each page is a query for the rows from the last key on, so a
+    cursor holds nothing open and goes on after any failure. Rows of one key come in the order of their hashes, and
+    those already given are skipped."""
 
     def __init__(self, df: DataFrame, key: str = "_id", rows: int = PAGE_ROWS):
         self.df, self.key, self.rows = df, key, rows
         self.last: object = None
+        self.given = 0  # rows of the last key
         self.done = False
 
     def next(self, rows: int | None = None) -> list[Row]:
         if self.done:
             return []
-        left = self.df if self.last is None else self.df.where(F.col(self.key) > F.lit(self.last))
-        page = left.orderBy(self.key).limit(rows or self.rows).collect()
+        left = self.df if self.last is None else self.df.where(F.col(self.key) >= F.lit(self.last))
+        page = left.orderBy(F.col(self.key).asc_nulls_first(), F.xxhash64(*self.df.columns)).offset(self.given).limit(rows or self.rows).collect()
         self.done = len(page) < (rows or self.rows)
         if page:
-            self.last = page[-1][self.key]
+            again, last = page[-1][self.key] == self.last, page[-1][self.key]
+            same = sum(r[self.key] == last for r in page)
+            self.last, self.given = last, self.given + same if again else same
         return page
 
     def __iter__(self) -> Iterator[Row]:

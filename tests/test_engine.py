@@ -143,6 +143,51 @@ def test_catalog(spark, docs, tmp_path):
     assert [r["_id"] for r in pages.next()] == [1, 2, 3] and [r["_id"] for r in pages.next()] == [4] and pages.next() == []
 
 
+def test_missing_collections_are_empty(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.create("e")
+    assert c.count("e").first()["n"] == 0 and c.count("never").first()["n"] == 0 and c.find("e").collect() == []
+
+
+def test_unique_on_every_write(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "_id long, u string")
+    c.create("d", rows)
+    c.create_index("d", {"_id": 1})
+    c.create_index("d", {"u": 1}, unique=True, sparse=True)
+    c.insert("d", spark.createDataFrame([(4, None)], "_id long, u string"))
+    with pytest.raises(QueryError, match="E11000"):
+        c.insert("d", spark.createDataFrame([(5, "y")], "_id long, u string"))
+    assert c.count("d").first()["n"] == 4
+
+
+def test_cursor_over_nulls_and_repeats(spark):
+    rows = [(None, 1), (None, 2), (None, 3), (1, 4), (1, 5), (1, 6), (2, 7)]
+    pages = Cursor(spark.createDataFrame(rows, "_id long, v long"), rows=2)
+    assert sorted(r["v"] for r in pages) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_add_to_set_keeps_first_order(spark, docs):
+    df = spark.createDataFrame([(i, i % 2, "bca"[i % 3]) for i in range(60)], "_id long, k long, v string")
+    got = aggregate(df, '[{"$group": {"_id": "$k", "p": {"$addToSet": "$v"}, "n": {"$count": {}}}}]').collect()
+    assert {r["_id"]: (r["p"], r["n"]) for r in got} == {0: (["b", "a", "c"], 30), 1: (["c", "b", "a"], 30)}
+
+
+@pytest.mark.parametrize(("pattern", "options", "text", "hit"), [
+    ("abc$", "", "abc\n", False), ("^b$", "m", "a\nb\nc", True), ("é", "i", "É", True), ("x.y", "", "x\ry", True), ("x.y", "", "x\ny", False), ("^[ ]$", "x", " ", True),
+    ("a b # c", "x", "ab", True), ("[[:digit:]]+z", "", "12z", True), ("^[a&&b]+$", "", "&a", True), ("^[[x]$", "", "[", True), (r"^a\$$", "", "a$", True),
+])
+def test_regex_rules(spark, pattern, options, text, hit):
+    df = spark.createDataFrame([(1, text)], "_id long, t string")
+    assert bool(find(df, {"t": {"$regex": pattern, "$options": options}}).collect()) is hit
+
+
+def test_find_sorts_only_when_asked(spark):
+    df = spark.range(10).withColumnRenamed("id", "_id")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan(find(df, '{"_id": {"$gt": 3}}')) and "Sort" in plan(find(df, None, sort='{"_id": -1}'))
+
+
 def test_dynamic(spark):
     df = dynamic.parse(spark.createDataFrame([('{"_id": 1, "v": 1}',), ('{"_id": 2, "v": 1.0}',), ('{"_id": 3, "v": "1"}',), ('{"_id": 4, "v": null}',), ('{"_id": 5}',), ('{"_id": 6, "v": [1]}',)], "t string"), "t")
     groups = {tuple(r["ids"]) for r in df.groupBy(dynamic.total_order("v").alias("k")).agg({"_id": "collect_list"}).withColumnRenamed("collect_list(_id)", "ids").selectExpr("sort_array(ids) as ids").collect()}
