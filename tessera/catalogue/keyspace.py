@@ -179,4 +179,5 @@ of("geo_search_radius", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT",
 of("geo_search_topk", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT", -60, -20, "BYRADIUS", 9000, "mi", "COUNT", 7).select("member"), f"select member from {CENTRES} where {ARC.format(lon=-60, lat=-20)} <= 9000 * 1609.34 order by {ARC.format(lon=-60, lat=-20)}, member limit 7")
 of("geo_search_box", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT", 20, 30, "BYBOX", 4000, 2000, "km").select("member"), f"select member from {CENTRES} where 6372797.560856 * abs(radians(y) - radians(30)) <= 1000000 and 2 * 6372797.560856 * asin(sqrt(pow(cos(radians(y)), 2) * pow(sin((radians(x) - radians(20)) / 2), 2))) <= 2000000")
 of("geo_names", lambda s: s.all_elements("zset").where("key = 'G:places'").select("member", F.length(geohash.name(F.col("score"))).alias("letters")), f"select member, 11 as letters from {LONLAT}")
-of("random_members", lambda s: run(s, "SRANDMEMBER", "S:view", 5), None)
+#: Which members come is chance: there are five different ones, all of the set.
+of("random_members", lambda s: run(s, "SRANDMEMBER", "S:view", 5).toDF("member").distinct().join(run(s, "SMEMBERS", "S:view"), "member", "left_semi").agg(F.count(F.lit(1)).alias("n")), f"select least(5, count(*)) as n from ({member_of('S:view')})")
