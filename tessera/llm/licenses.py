@@ -1,9 +1,9 @@
 """License scans by a positional index of rare words.
 
-Every notice template keeps its words with their positions. Corpus-wide document frequencies rank the licence words;
-each template is indexed under its highest-IDF words. A file's occurrences of such words vote for (template, offset),
-an offset being the file position less the template position; agreeing postings are candidates, which count only if
-the template's mandatory key phrases stand in place.
+Every notice template posts the words of its mandatory key phrases with their positions. Corpus-wide document
+frequencies rank the licence words that a file holds; the file's highest-IDF ones are looked up, and their postings are
+intersected by relative position, file position less template position. What is left counts if the template's mandatory
+key phrases stand in place: no place of them is missed, whatever the frequencies.
 """
 
 from __future__ import annotations
@@ -64,21 +64,22 @@ NOTICES = (
 
 
 class Index:
-    """Postings of each template's rarest words: word to (template, position)."""
+    """Positional postings of all mandatory words: word to (template, position). ``idf`` ranks the words of a file."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], n_docs: int, anchors: int = 3):
         self.templates = templates
+        self.anchors = anchors
         self.words = [t.text.encode().split() for t in templates]
-        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w.decode(), 0))) for ws in self.words for w in ws}
+        self.must = [[self.place(ws, m.encode().split()) for m in t.must] for t, ws in zip(templates, self.words)]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed: list[int] = []
-        self.must: list[list[tuple[int, list[bytes]]]] = []
-        for k, ws in enumerate(self.words):
-            chosen = sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], i))[: 1 if templates[k].base else anchors]
-            for i in chosen:
-                self.postings[ws[i]].append((k, i))
-            self.needed.append(min(2, len(chosen)))
-            self.must.append([self.place(ws, m.encode().split()) for m in templates[k].must])
+        for k in range(len(templates)):
+            at = sorted(must_places(self.must[k]))
+            for i in at:
+                self.postings[self.words[k][i]].append((k, i))
+            self.needed.append(len({self.words[k][i] for i in at}))
+        self.vocabulary = frozenset(self.postings)
+        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w.decode(), 0))) for w in self.vocabulary}
 
     @staticmethod
     def place(words: list[bytes], part: list[bytes]) -> tuple[int, list[bytes]]:
@@ -87,24 +88,44 @@ class Index:
                 return i, part
         raise ValueError(f"a mandatory phrase isn't in its template: {part}")
 
+    def rarest(self, words: list[bytes]) -> dict[int, list[tuple[bytes, int]]]:
+        """For each template all of whose mandatory words the file holds, postings of the file's highest-IDF licence
+        words in it, rarest first."""
+        here = sorted(self.vocabulary.intersection(words), key=lambda w: (-self.idf[w], w))
+        held: dict[int, set[bytes]] = defaultdict(set)
+        chosen: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
+        for w in here:
+            for k, i in self.postings[w]:
+                held[k].add(w)
+                if len(chosen[k]) < self.anchors:
+                    chosen[k].append((w, i))
+        return {k: chosen[k] for k in sorted(held) if len(held[k]) == self.needed[k]}
+
     def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, first word, share of the template's words in place), by template and place."""
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        postings = self.postings
+        chosen = self.rarest(words)
+        if not chosen:
+            return []
+        places: dict[bytes, list[int]] = {w: [] for found in chosen.values() for w, _ in found}
         for at, w in enumerate(words):
-            if w in postings:
-                for k, i in postings[w]:
-                    votes[k, at - i] += 1
+            if w in places:
+                places[w].append(at)
         out = []
-        for (k, start), n in sorted(votes.items()):
-            if n < self.needed[k] or not all(start + i >= 0 and words[start + i : start + i + len(p)] == p for i, p in self.must[k]):
-                continue
+        for k, found in chosen.items():
+            starts = set.intersection(*({at - i for at in places[w]} for w, i in found))
             ws = self.words[k]
-            same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(ws))
-            out.append((k, start, same / len(ws)))
+            for start in sorted(starts):
+                if all(start + i >= 0 and words[start + i : start + i + len(p)] == p for i, p in self.must[k]):
+                    same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(ws))
+                    out.append((k, start, same / len(ws)))
         return out
 
 
+def must_places(must: list[tuple[int, list[bytes]]]) -> set[int]:
+    """The places of a template that its mandatory phrases fill."""
+    return {i + n for i, part in must for n in range(len(part))}
+
+
 def word_frequency(docs: DataFrame, text: Column, templates: tuple[Template, ...]) -> tuple[dict[str, int], int]:
     """In how many documents each licence word stands, over all documents, and their number. A row a task and word."""
     ship(docs.sparkSession)
@@ -129,7 +150,8 @@ SCHEMA = "row_id {id}, n_words bigint, matches array<struct<label:string,start:b
 
 def scan_licenses(docs: DataFrame, row_id: Column, text: Column, templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
     """One row for each row of ``docs``: ``row_id``, ``n_words`` and ``matches``: label, first word, end (exclusive),
-    share of the template's words that stand in place, and whether the template is one of the base phrases.
+    share of the template's words that stand in place, and whether the template is one of the base phrases. A template
+    matches where all its mandatory phrases stand in place; its first word may lie before the text.
 
     Whole texts are read. Null and empty texts have no words and no matches; overlapping notices all count; repeated
     rows each get theirs; ids may be null; other columns aren't read. The templates are a bounded list, the words'

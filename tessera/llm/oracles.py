@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm import licenses
+
 RE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -33,6 +35,23 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) a
 select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
 """
 
+_TEMPLATES = licenses.BASE + licenses.NOTICES
+_MUST = [sorted(licenses.must_places([licenses.Index.place(t.text.split(), m.split()) for m in t.must])) for t in _TEMPLATES]
+_NOTICES = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, '{t.text}', {must})" for k, (t, must) in enumerate(zip(_TEMPLATES, _MUST)))
+#: A template matches where as many of its mandatory words stand in place as it has.
+OP8 = f"""
+with t(k, label, base, body, must) as (values {_NOTICES}),
+tw as (select k, word, j, list_contains(must, j) as need from (select k, must, unnest(string_split(body, ' ')) as word, unnest(range(0, len(string_split(body, ' ')))) as j from t)),
+d as (select row_number() over () as r, doc_id, {_words('text')} as w from documents),
+p as (select r, unnest(w) as word, unnest(range(0, len(w))) as i from d),
+hits as (select r, k, i - j as start, count(*) filter (where need) as n_must, count(*) as same from p join tw using (word) group by 1, 2, 3),
+found as (select r, label, base, start, same / len(string_split(body, ' ')) as share from hits join t using (k) where n_must = len(must)),
+per as (select r, count(*) filter (where base) as n_base, min(start) filter (where base) as first_word, max(start) filter (where base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from found group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from d left join per using (r)
+"""
+
 RULES = (("com/", "com", "/", "allow"), ("example.com/en/", "example.com", "/en/", "block"), ("www.example.com/en/", "www.example.com", "/en/", "allow"), ("net/es/", "net", "/es/", "block"), ("net/fr/", "net", "/fr/", "block"))
 _VALUES = ", ".join(f"('{n}', '{h}', '{p}', '{v}')" for n, h, p, v in RULES)
 _HOST = "translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

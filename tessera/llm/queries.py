@@ -121,4 +121,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that SQL can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op3_url_filter": oracles.OP3, "op4_benchmark_decontamination": oracles.OP4, "op6_top_k": oracles.OP6, "op9_secret_scan": oracles.OP9}
+    return {"op3_url_filter": oracles.OP3, "op4_benchmark_decontamination": oracles.OP4, "op6_top_k": oracles.OP6, "op8_license_scan": oracles.OP8, "op9_secret_scan": oracles.OP9}

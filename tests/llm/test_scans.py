@@ -96,6 +96,36 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd, F.col("doc_id"), F.col("text")).count() == odd.count() and licenses.scan_licenses(none, F.col("doc_id"), F.col("text")).count() == 0
 
 
+def brute_licenses(text):
+    """(label, first word, share) of every template at every place where its mandatory phrases stand."""
+    ws, out = words(text), []
+    for t in licenses.BASE + licenses.NOTICES:
+        own = t.text.split()
+        parts = [(next(i for i in range(len(own)) if own[i : i + len(m.split())] == m.split()), m.split()) for m in t.must]
+        for start in range(-len(own), len(ws)):
+            if all(start + i >= 0 and ws[start + i : start + i + len(p)] == p for i, p in parts):
+                out.append((t.label, start, sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(own)) / len(own)))
+    return sorted(out)
+
+
+def test_licenses_by_brute_force(spark):
+    """Whole, cut, mixed and stuttering notices; frequencies turn the rarest words round, and change no result."""
+    rng = random.Random(8)
+    notices = [t.text.split() for t in licenses.BASE + licenses.NOTICES]
+    texts = []
+    for _ in range(300):
+        ws = []
+        for _ in range(rng.randint(1, 4)):
+            n = rng.choice(notices)
+            a = rng.randint(0, 3)
+            ws += [w for w in n[a : len(n) - rng.randint(0, 3)] if rng.random() > 0.02] * rng.choice((1, 1, 2)) + rng.choices(["the", "license", "of", "cc", "x"], k=rng.randint(0, 4))
+        texts.append(" ".join(ws))
+    for filler in ([], ["license version gnu mit"] * 500):
+        given = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string")
+        got = {r["row_id"]: sorted((m["label"], m["start"], m["share"]) for m in r["matches"]) for r in licenses.scan_licenses(given, F.col("doc_id"), F.col("text")).collect()}
+        assert all(got[i] == brute_licenses(t) for i, t in enumerate(texts)) and sum(map(len, got.values())) > 200
+
+
 def test_license_places_over_a_table(spark, docs):
     got = queries.op8_license_scan(spark, "/root/testdata/sf0.01").collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
