@@ -24,6 +24,8 @@ LEAF, TREE, QUERIES = 64, 8_192, 16_384
 RATIO = 1.3
 #: Doubles hold every integer up to this.
 EXACT = 1 << 53
+#: What a task answers: the query's number, id, copies and product with itself, and a candidate with its score.
+FOUND = ["query", "query_id", "times", "own", "vec_id", "score"]
 
 
 @dataclass
@@ -90,19 +92,26 @@ class Best:
         self.k = k
         self.score = np.full((n, k), np.iinfo(np.int64).min, np.int64)
         self.id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+        self.taken = np.zeros((n, 1), np.int64)
+
+    def found(self) -> np.ndarray:
+        """Which places are taken."""
+        return self.taken > np.arange(self.k)
 
     def worst(self, lo: int, hi: int) -> int:
         return int(self.score[lo:hi, -1].min())
 
-    def add(self, lo: int, hi: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        """``scores``: queries lo to hi by candidates; a candidate with the query's own id doesn't count."""
-        mine = ids[None, :] == own[lo:hi, None]
-        good = (scores >= self.score[lo:hi, -1:]) & ~mine
+    def add(self, lo: int, hi: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> None:
+        """``scores``: queries lo to hi by candidates; a candidate with the query's own id, if told, doesn't count."""
+        good = scores >= self.score[lo:hi, -1:]
+        if own is not None:
+            good &= ids[None, :] != own[lo:hi, None]
         for i in np.flatnonzero(good.any(1)):
             s, d = scores[i, good[i]], ids[good[i]]
             s, d = np.concatenate([self.score[lo + i], s]), np.concatenate([self.id[lo + i], d])
             first = np.lexsort((d, ~s))[: self.k]  # ~s falls as s grows, without overflow
             self.score[lo + i], self.id[lo + i] = s[first], d[first]
+            self.taken[lo + i] = min(self.k, self.taken[lo + i, 0] + good[i].sum())
 
 
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -113,11 +122,11 @@ def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, qtree: tuple[Node, np.ndarray], points: np.ndarray, ids: np.ndarray, k: int) -> tuple[Best, int]:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray | None, qtree: tuple[Node, np.ndarray], points: np.ndarray, ids: np.ndarray, k: int) -> tuple[Best, int]:
     """The k best candidates of each query (in the query tree's order), and how many scores were computed."""
     xroot, xorder = cover_tree(points)
     qroot, qorder = qtree
-    q, own, x, xid = queries[qorder], query_ids[qorder], points[xorder], ids[xorder]
+    q, own, x, xid = queries[qorder], None if query_ids is None else query_ids[qorder], points[xorder], ids[xorder]
     best, done = Best(len(q), k), 0
 
     def bound(a: Node, b: Node) -> float:
@@ -163,24 +172,26 @@ def quantised(vectors: DataFrame, vec_id: Column, vector: Column) -> DataFrame:
 
 def top_k(vectors: DataFrame, vec_id: Column, vector: Column, is_query: Column, k: int = 10) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: each query's k highest inner products among all rows
-    with another id, all if there are fewer; ties to the smaller id. ``is_query`` tells from ``vec_id`` who asks.
+    but its own, all if there are fewer; ties to the smaller id. ``is_query`` tells from ``vec_id`` who asks.
 
-    Every row is compared, none capped; a repeated id asks once, by its least vector, and each of its rows is a
-    candidate. A shorter vector counts as padded with zeros. Empty tables give no rows. Queries go to the executors
+    Every row is compared, none capped. Each row of a repeated id asks for itself, and the others of that id are
+    candidates; rows equal in id and vector are searched for once and answered as often as they stand. To leave out
+    one row alone, k + 1 are searched for: if the query's own is among them, one of its id and score goes.
+    A shorter vector counts as padded with zeros. Empty tables give no rows. Queries go to the executors
     ``QUERIES`` at a time, fetched by partition, whatever their number; scores past 64 bits wrap.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = quantised(vectors, vec_id, vector)
-    asking = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asking = rows.where(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
     trees = max(1, -(-rows.count() // TREE))
     dealt = rows.repartition(trees)
     found: DataFrame | None = None
-    for block in _blocks(asking):
+    for at, block in enumerate(_blocks(asking)):
         sent = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, qrows = sent.value
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, base=at * QUERIES) -> Iterator[pa.RecordBatch]:
+            qids, qrows, times = sent.value
             qwidth = max((len(r) for r in qrows), default=0)
             qtree = None
             held: list[pa.RecordBatch] = []
@@ -196,10 +207,12 @@ def top_k(vectors: DataFrame, vec_id: Column, vector: Column, is_query: Column,
                 x = as_matrix(listed, width)
                 if qtree[0].centre.shape[0] != width:
                     qtree = query_tree(q)
-                best, _ = dual_search(q, qids, qtree, x, ids, k)
-                there = best.id != np.iinfo(np.int64).max
-                who = np.repeat(qids[qtree[1]][:, None], k, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(who[there]), pa.array(best.id[there]), pa.array(best.score[there])], ["query_id", "vec_id", "score"])
+                best, _ = dual_search(q, None, qtree, x, ids, k + 1)
+                slot, there = np.nonzero(best.found())
+                who = qtree[1][slot]
+                own = (q.astype(np.int64) ** 2).sum(1)
+                found = [base + who, qids[who], times[who], own[who], best.id[slot, there], best.score[slot, there]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], FOUND)
 
             for batch in batches:
                 for at in range(0, batch.num_rows, TREE):
@@ -211,22 +224,31 @@ def top_k(vectors: DataFrame, vec_id: Column, vector: Column, is_query: Column,
             if n:
                 yield from answer()
 
-        part = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+        part = dealt.mapInArrow(search, ", ".join(f"{c} bigint" for c in FOUND))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("bigint").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(asking: DataFrame) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-    ids: list[int] = []
-    rows: list[list[int]] = []
-    for i, v in asking.toLocalIterator():
-        ids.append(i)
-        rows.append(v)
-        if len(ids) == QUERIES:
-            yield np.array(ids, np.int64), rows
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), rows
+        found = rows.limit(0).select(*[F.col("vec_id").alias(c) for c in FOUND])
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    passed = F.count_if(mine).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = first.withColumn("passed", passed).where(~(mine & (F.col("passed") == 1)))
+    rank = F.col("place") - F.least(F.col("passed"), F.lit(1)).cast("int")
+    answers = left.withColumn("rank", rank).where(F.col("rank") <= k)
+    return answers.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(asking: DataFrame) -> Iterator[tuple[np.ndarray, list[list[int]], np.ndarray]]:
+    held: list[tuple[int, list[int], int]] = []
+
+    def block() -> tuple[np.ndarray, list[list[int]], np.ndarray]:
+        ids, rows, times = zip(*held)
+        return np.array(ids, np.int64), list(rows), np.array(times, np.int64)
+
+    for r in asking.toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == QUERIES:
+            yield block()
+            held.clear()
+    if held:
+        yield block()
