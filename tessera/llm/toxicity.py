@@ -6,6 +6,7 @@ Features are the words that a whole text holds.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,7 +83,8 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, categories: dict[str, Column]) -> Chain:
     """A chain over ``categories``, in order: name to a boolean of ``labels``; null leaves a row out of that category.
 
-    Fitted on at most ``MOST_ROWS`` labelled documents, drawn by a hash of their id; their texts are read whole.
+    Fitted on at most ``MOST_ROWS`` labelled documents, drawn by a hash of their id; their texts are read whole. Texts
+    of the same words are of one fold, so that no copy of a text tells its own out-of-fold odds.
     Labels without a document, and documents with null ids, teach nothing; of repeated ids each row counts.
     """
     spark = docs.sparkSession
@@ -101,14 +103,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, categories:
 
     kind = rows.schema["id"].dataType.simpleString()
     shape = ", ".join([f"id {kind}", *[f"y{k} int" for k in range(len(names))], "words binary"])
-    sample = rows.mapInArrow(featurise, shape).orderBy("id", "words").limit(MOST_ROWS).collect()
+    sample = rows.mapInArrow(featurise, shape).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "words").limit(MOST_ROWS).collect()
     df: dict[bytes, int] = {}
     for r in sample:
         for w in bytes(r["words"]).split():
             df[w] = df.get(w, 0) + 1
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, k in df.items() if k >= 3))}
     held = [np.array([vocabulary[w] for w in bytes(r["words"]).split() if w in vocabulary], np.int64) for r in sample]
-    fold = np.arange(len(held)) % FOLDS
+    fold = np.array([zlib.crc32(bytes(r["words"])) % FOLDS for r in sample], np.int64)
     earlier = np.zeros((len(held), 0))
     weights, links, least = [], [], []
     for k in range(len(names)):
