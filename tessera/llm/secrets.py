@@ -131,15 +131,15 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, doc_id: str, text: str, repository: str, owner: str, length: str | None = None) -> DataFrame:
-    """``docs``, rows and columns unchanged but for live secrets in ``text``, which are redacted, and ``length``, if
-    given, which is that text's. Rows without a live secret stay as they are, null texts too."""
+    """``docs``, rows and columns unchanged, whatever their names, but for live secrets in ``text``, which are
+    redacted, and ``length``, if given, which is then that text's. Rows without a live secret stay as they are, null
+    texts, null ids and repeated rows too; empty tables give no rows."""
     found = scan_secrets(docs, F.col(doc_id), F.col(text), F.col(repository), F.col(owner))
-    live = found.where(F.exists("spans", lambda s: s["class"] == "live")).select(F.col("row_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__body"])
-    joined = docs.join(live, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__body")), "left")
-    changed = F.col("__body").isNotNull()
-    new = F.when(changed, redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
-    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], changed.alias("__changed"))
-    if length is not None:
-        kind = docs.schema[length].dataType
-        out = out.withColumn(length, F.when(F.col("__changed"), F.length(text).cast(kind)).otherwise(F.col(length)))
-    return out.drop("__changed")
+    live = found.where(F.exists("spans", lambda s: s["class"] == "live")).dropDuplicates(["row_id", "body"])
+    given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.struct("*").alias("row"))
+    joined = given.join(live, F.expr("id <=> row_id and hash = body"), "left").select("row", "body", "spans")
+    row = {c: F.col("row").getField(c) for c in docs.columns}
+    new = redact(row[text], F.col("spans"))
+    put = {text: new} | ({length: F.length(new).cast(docs.schema[length].dataType)} if length is not None else {})
+    changed = F.col("body").isNotNull()
+    return joined.select(*[(F.when(changed, put[c]).otherwise(row[c]) if c in put else row[c]).alias(c) for c in docs.columns])

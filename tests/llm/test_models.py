@@ -74,6 +74,18 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, F.col("doc_id"), F.col("text"), empty).count() == odd.count()
 
 
+def test_toxicity_of_unseen_rows(spark, docs):
+    """Fitted on one half of the ids, judged on the other; copies of a text are on one side."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(docs.select("doc_id", (F.xxhash64("text") % 2 == 0).alias("learn")), "doc_id")
+    chain = toxicity.fit(docs, labels.where("learn"), "doc_id", "text", {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    got = {r["row_id"]: r["p_toxic"] >= chain.least[1] for r in toxicity.score(docs, F.col("doc_id"), F.col("text"), chain).collect()}
+    told = labels.where("not learn and toxic is not null").collect()
+    bad = [got[r["doc_id"]] for r in told if r["toxic"]]
+    good = [got[r["doc_id"]] for r in told if not r["toxic"]]
+    print("unseen toxic", len(bad), sum(bad) / len(bad), "clean", len(good), sum(good) / len(good))
+    assert sum(bad) / len(bad) > 0.7 and sum(good) / len(good) < 0.02
+
+
 def brute_top(rows, k=10):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
@@ -99,6 +111,25 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(few, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id ask each for themselves; only the row that asks is left out, its equals are not."""
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 100, 100, 200, *range(1, 40)]), [float(rng.randint(-2, 2)) for _ in range(2)]) for _ in range(400)]
+    rows += [(100, [2.0, 2.0])] * 12 + [(300, [0.0, 0.0]), (400, [0.0, 0.0]), (400, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query", F.lit(1))
+    monkeypatch.setattr(topk, "TREE", 64)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            scored = sorted((-sum(int(a * 1024) * int(b * 1024) for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
+    got = topk.top_k(df, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    one = spark.createDataFrame(rows[-3:-2], "vec_id long, embedding array<double>")
+    assert topk.top_k(one, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 100 == 0).count() == 0
+
+
 def test_pruning():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 3)) * 1e4
@@ -256,6 +287,19 @@ def test_sampling_without_replacement():
     assert [r["sample"] for r in few].count(1) == 2 and few[0]["log_inclusion"] == 0.0
 
 
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, none, at):
+    """Every stage takes nulls, repeated ids, no rows, and columns named like its own; all but the last keep the columns."""
+    name, stage = corpus_pipeline.STAGES[at]
+    for given in (odd, none):
+        given = given.select("*", F.length("text").alias("n_chars"), *[F.lit(1).alias(c) for c in ("__id", "__body", "spans", "body", "row", "id", "hash", "found")])
+        out = stage(spark, given, "/root/testdata/sf0.001")
+        assert at == 4 or out.columns == given.columns
+        n = len(out.collect())
+        assert n <= given.count() * (2 if at == 4 else 1), name
+        assert at != 3 or n == given.count()
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
