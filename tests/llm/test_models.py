@@ -74,15 +74,17 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, F.col("doc_id"), F.col("text"), empty).count() == odd.count()
 
 
-def test_toxicity_of_unseen_rows(spark, docs):
-    """Fitted on one half of the ids, judged on the other; copies of a text are on one side."""
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(docs.select("doc_id", (F.xxhash64("text") % 2 == 0).alias("learn")), "doc_id")
+def test_toxicity_of_unseen_rows(spark):
+    """Fitted on one half of the texts, judged on the other; copies of a text are on one side. Some labelled rows hold
+    no word that tells them; with the 25 toxic rows that half of sf0.01 has to learn from, 0.62 are found."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(docs.select("doc_id", (F.xxhash64("text") % 2 == 0).alias("learn")), "doc_id")
     chain = toxicity.fit(docs, labels.where("learn"), "doc_id", "text", {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
     got = {r["row_id"]: r["p_toxic"] >= chain.least[1] for r in toxicity.score(docs, F.col("doc_id"), F.col("text"), chain).collect()}
     told = labels.where("not learn and toxic is not null").collect()
     bad = [got[r["doc_id"]] for r in told if r["toxic"]]
     good = [got[r["doc_id"]] for r in told if not r["toxic"]]
-    print("unseen toxic", len(bad), sum(bad) / len(bad), "clean", len(good), sum(good) / len(good))
     assert sum(bad) / len(bad) > 0.7 and sum(good) / len(good) < 0.02
 
 
