@@ -159,6 +159,51 @@ after("key_rename", ("RENAME", "S:view", "S:seen"), ("SCARD", "S:seen"), COUNT_O
 command("key_exists", "select (select count(*) from documents where doc_id = 5) * 2 as reply", "EXISTS", "D:5", "D:5", "none")
 after("key_expire_time", ("PEXPIREAT", "D:5", NOW_MS + 5000), ("PEXPIRETIME", "D:5"), f"select {NOW_MS + 5000} as reply")
 
+THERE = "select case when exists(select 1 from documents where doc_id = 5) then 0 else 1 end as reply"
+command("key_touch", COUNT_OF.format("from documents where doc_id in (5, 7)"), "TOUCH", "D:5", "none", "D:7")
+reply("key_rename_new", ("RENAMENX", "D:5", "D:5"), THERE)
+#: Which key comes is chance: it is one of those that live.
+of("key_random", lambda s: run(other(s), "RANDOMKEY").join(other(s).live(), "key", "left_semi").agg(F.count(F.lit(1)).alias("n")), f"select least(1, count(*)) as n from {LIVE}")
+of("key_move", lambda s: run(replace(run(s, "MOVE", "D:5", 2).space, db=2), "GET", "D:5"), "select text as reply from documents where doc_id = 5")
+of("db_size", lambda s: run(other(s), "DBSIZE"), f"select count(*) as reply from {LIVE}")
+of("flush_db", lambda s: (lambda t: run(t, "DBSIZE").unionByName(run(replace(t, db=0), "SCARD", "S:view")))(run(other(s), "FLUSHDB").space), f"select 0 as reply union all {COUNT_OF.format(member_of('S:view'))}")
+after("flush_all", ("FLUSHALL",), ("DBSIZE",), "select 0 as reply")
+after("key_expire", ("EXPIRE", "D:5", 100), ("TTL", "D:5"), "select 100 as reply")
+after("key_pexpire", ("PEXPIRE", "D:5", 1500), ("PTTL", "D:5"), "select 1500 as reply")
+after("key_expire_at", ("EXPIREAT", "D:5", NOW_MS // 1000 + 60), ("EXPIRETIME", "D:5"), f"select {NOW_MS // 1000 + 60} as reply")
+of("key_persist", lambda s: run(run(run(s, "EXPIRE", "D:5", 100).space, "PERSIST", "D:5").space, "PTTL", "D:5"), "select -1 as reply")
+command("hash_scan", f"select field, value from {HELD} order by field limit 2", "HSCAN", "H:7", "0", "COUNT", 2)
+command("set_scan", f"{member_of('S:view')} and member > '3' order by member limit 20", "SSCAN", "S:view", "3", "COUNT", 20)
+command("zset_scan", f"select member, score from (select * from {scores_of('Z:click')} order by member limit 30) where member like '1%'", "ZSCAN", "Z:click", "0", "MATCH", "1*", "COUNT", 30)
+
+reply("str_get_del", ("GETDEL", "D:5"), "select text as reply from documents where doc_id = 5")
+after("str_get_ex", ("GETEX", "D:5", "EX", 30), ("PTTL", "D:5"), "select 30000 as reply")
+after("str_mset", ("MSET", "a", "1", "D:5", "2"), ("MGET", "a", "D:5"), "select * from (values (0, 'a', '1'), (1, 'D:5', '2')) t(\"at\", key, value)")
+after("str_mset_new", ("MSETNX", "D:5", "x", "new", "y"), ("EXISTS", "new"), THERE)
+reply("str_set_new", ("SETNX", "D:5", "x"), THERE)
+after("str_pset_ex", ("PSETEX", "D:5", 1500, "v"), ("PTTL", "D:5"), "select 1500 as reply")
+of("str_incr", lambda s: run(run(run(s, "INCR", "n").space, "INCRBY", "n", 41).space, "GET", "n"), "select '42' as reply")
+after("str_decr_one", ("DECR", "n"), ("GET", "n"), "select '-1' as reply")
+of("str_incr_float", lambda s: run(run(run(s, "SET", "n", "10.50").space, "INCRBYFLOAT", "n", "0.1").space, "GET", "n"), "select '10.6' as reply")
+reply("str_set_range", ("SETRANGE", "D:5", 4, "abcdef"), "select greatest(octet_length(encode(text)), 10) as reply from documents where doc_id = 5")
+after("str_get_range", ("SETRANGE", "D:5", 4, "abcdef"), ("GETRANGE", "D:5", 4, 9), "select 'abcdef' as reply")
+after("str_substr", ("APPEND", "D:5", "-end"), ("SUBSTR", "D:5", -4, -1), "select '-end' as reply")
+
+#: Which fields and members come is chance: they are different ones, all of the key.
+of("hash_random", lambda s: run(s, "HRANDFIELD", "H:7", 2).distinct().join(run(s, "HKEYS", "H:7"), "field", "left_semi").agg(F.count(F.lit(1)).alias("n")), f"select least(2, count(*)) as n from {HELD}")
+of("zset_random", lambda s: run(s, "ZRANDMEMBER", "Z:view", 4).distinct().join(run(s, "ZRANGE", "Z:view", 0, -1), "member", "left_semi").agg(F.count(F.lit(1)).alias("n")), f"select least(4, count(*)) as n from {scores_of('Z:view')}")
+for _name, _word, _order in (("zset_rank_one", "ZRANK", "score, member"), ("zset_reverse_rank", "ZREVRANK", "score desc, member desc")):
+    command(_name, f"select rank as reply from (select member, row_number() over (order by {_order}) - 1 as rank from {scores_of('Z:view')}) where member = '7'", _word, "Z:view", "7")
+
+ONE = f"(select pos, value, n from {PLACED} where key = 'L:1')"
+after("list_push_both", ("RPUSH", "L:1", "x", "y"), ("LRANGE", "L:1", -3, -1), f"select pos, value from {ONE} where pos = n - 1 union all select count(*), 'x' from {ONE} union all select count(*) + 1, 'y' from {ONE}")
+after("list_push_left", ("LPUSHX", "L:1", "x"), ("LRANGE", "L:1", 0, 1), f"select 0 as pos, 'x' as value union all select pos + 1, value from {ONE} where pos = 0")
+after("list_set", ("LSET", "L:1", -1, "x"), ("LRANGE", "L:1", 0, -1), f"select pos, case when pos = n - 1 then 'x' else value end as value from {ONE}")
+after("list_rem_one", ("LREM", "L:1", -1, "user"), ("LRANGE", "L:1", 0, -1), f"select row_number() over (order by pos) - 1 as pos, value from (select pos, value, row_number() over (partition by value order by pos desc) as nth from {ONE}) where not (value = 'user' and nth = 1)")
+after("list_insert", ("LINSERT", "L:1", "BEFORE", "assistant", "x"), ("LRANGE", "L:1", 0, -1), f"select row_number() over (order by o) - 1 as pos, value from (select pos * 2 as o, value from {ONE} union all select min(pos) * 2 - 1, 'x' from {ONE} where value = 'assistant' having count(*) > 0)")
+command("list_pos_one", f"select nth, pos from (select pos, row_number() over (order by pos desc) as nth from {ONE} where value = 'user') where nth <= 2", "LPOS", "L:1", "user", "RANK", -1, "COUNT", 2)
+after("list_move", ("LMOVE", "L:1", "L:2", "LEFT", "RIGHT"), ("LRANGE", "L:2", -1, -1), f"select (select count(*) from conversations where conv_id = 2) as pos, value from {ONE} where pos = 0")
+
 # ---- places
 
 LONLAT = "(select c_name as member, (c_custkey * 7919 % 36000) / 100.0::double - 180 as lon, (c_custkey * 104729 % 17000) / 100.0::double - 85 as lat from customer)"
@@ -178,6 +223,24 @@ of("geo_decode", lambda s: geo.positioned(s.all_elements("zset").where("key = 'G
 of("geo_search_radius", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT", 20, 30, "BYRADIUS", 1500, "km", "ASC").select("member", F.round("dist", 2).alias("dist")), f"select member, round({ARC.format(lon=20, lat=30)} / 1000, 2) as dist from {CENTRES} where {ARC.format(lon=20, lat=30)} <= 1500000")
 of("geo_search_topk", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT", -60, -20, "BYRADIUS", 9000, "mi", "COUNT", 7).select("member"), f"select member from {CENTRES} where {ARC.format(lon=-60, lat=-20)} <= 9000 * 1609.34 order by {ARC.format(lon=-60, lat=-20)}, member limit 7")
 of("geo_search_box", lambda s: run(s, "GEOSEARCH", "G:places", "FROMLONLAT", 20, 30, "BYBOX", 4000, 2000, "km").select("member"), f"select member from {CENTRES} where 6372797.560856 * abs(radians(y) - radians(30)) <= 1000000 and 2 * 6372797.560856 * asin(sqrt(pow(cos(radians(y)), 2) * pow(sin((radians(x) - radians(20)) / 2), 2))) <= 2000000")
-of("geo_names", lambda s: s.all_elements("zset").where("key = 'G:places'").select("member", F.length(geohash.name(F.col("score"))).alias("letters")), f"select member, 11 as letters from {LONLAT}")
+#: Names run over all latitudes: the centre is cut into 26 steps of longitude and latitude each, five bits a letter.
+STANDARD = f"(select member, ({_cell('slat')}) + 2 * ({_cell('slon')}) as bits from (select member, cast(floor((x + 180) / 360 * 67108864) as bigint) as slon, cast(floor((y + 90) / 180 * 67108864) as bigint) as slat from {CENTRES}))"
+SPELT = " || ".join(f"substr('{geohash.LETTERS}', cast((cast(bits as bigint) >> {47 - 5 * i}) & 31 as integer) + 1, 1)" for i in range(10))
+of("geo_names", lambda s: s.all_elements("zset").where("key = 'G:places'").select("member", geohash.name(F.col("score")).alias("hash")), f"select member, {SPELT} || '0' as hash from {STANDARD}")
 #: Which members come is chance: there are five different ones, all of the set.
 of("random_members", lambda s: run(s, "SRANDMEMBER", "S:view", 5).toDF("member").distinct().join(run(s, "SMEMBERS", "S:view"), "member", "left_semi").agg(F.count(F.lit(1)).alias("n")), f"select least(5, count(*)) as n from ({member_of('S:view')})")
+
+SEVEN, NINE = "Customer#000000007", "Customer#000000009"
+FROM_SEVEN = f"(select c.member, c.cell, c.x, c.y, s.x as sx, s.y as sy from {CENTRES} c, {CENTRES} s where s.member = '{SEVEN}')"
+APART = ARC.format(lon="sx", lat="sy")
+NEAR = f"select member from {CENTRES} where {ARC.format(lon=20, lat=30)} <= 1500000"
+NEAR_SEVEN = f"select member from {FROM_SEVEN} where {APART} <= 2500000"
+after("geo_add", ("GEOADD", "G:places", 2.35, 48.85, "new"), ("ZCARD", "G:places"), "select count(*) + 1 as reply from customer")
+of("geo_pos", lambda s: run(s, "GEOPOS", "G:places", SEVEN, "none").select("at", "member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")), f"select i as at, m as member, round(x, 6) as lon, round(y, 6) as lat from (values (0, '{SEVEN}'), (1, 'none')) t(i, m) left join {CENTRES} on member = m")
+of("geo_dist", lambda s: run(s, "GEODIST", "G:places", SEVEN, NINE, "km").select(F.round("reply", 2).alias("reply")), f"select round({APART} / 1000, 2) as reply from {FROM_SEVEN} where member = '{NINE}'")
+for _word in ("GEORADIUS", "GEORADIUS_RO"):
+    of(_word.lower().replace("georadius", "geo_radius_of"), lambda s, w=_word: run(s, w, "G:places", 20, 30, 1500, "km").select("member"), NEAR)
+for _word in ("GEORADIUSBYMEMBER", "GEORADIUSBYMEMBER_RO"):
+    of(_word.lower().replace("georadiusbymember", "geo_radius_by_member"), lambda s, w=_word: run(s, w, "G:places", SEVEN, 2500, "km").select("member"), NEAR_SEVEN)
+after("geo_search_store", ("GEOSEARCHSTORE", "G:near", "G:places", "FROMMEMBER", SEVEN, "BYRADIUS", 2500, "km"), ("ZCARD", "G:near"), COUNT_OF.format(NEAR_SEVEN))
+command("geo_hash_of", f"select i as at, m as member, hash from (values (0, '{SEVEN}'), (1, 'none')) t(i, m) left join (select member, {SPELT} || '0' as hash from {STANDARD}) on member = m", "GEOHASH", "G:places", SEVEN, "none")

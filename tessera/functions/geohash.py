@@ -58,7 +58,7 @@ def decode(cell: Column) -> tuple[Column, Column]:
         def middle(v: Column) -> Column:
             lo = F.lit(low) + v / F.lit(size) * F.lit(high - low)
             hi = F.lit(low) + (v + 1) / F.lit(size) * F.lit(high - low)
-            return F.greatest(F.lit(low), F.least(F.lit(high), (lo + hi) / 2))
+            return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), (lo + hi) / 2)))  # no cell, no position
 
         return let(steps, middle)
 
