@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 
@@ -26,8 +27,8 @@ from tessera.llm.tokens import MARK, load
 
 #: Log-weight of a piece for each point of its score: ranks of some thousands part likely from unlikely pieces.
 ALPHA = 1 / 2000
-#: Characters walked together, and nodes of remembered lattices.
-GROUP, NODES = 500_000, 1_500_000
+#: Characters walked together, and nodes of remembered lattices. Both bound a worker's memory; larger ones were no faster.
+GROUP, NODES = 120_000, 400_000
 #: Hypotheses this far, in log-mass, below a sibling are not drawn: their chance to matter is below 1e-25.
 FAR = 60.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -444,16 +445,16 @@ def sample_texts(vocabulary: Vocabulary, lat: Lattices, texts: list[str], keys:
     return np.concatenate(index), pa.table([pa.array(np.concatenate(number), pa.int32()), pa.chunked_array(lists, pa.list_(pa.int32())), *[pa.array(np.concatenate(x)) for x in (log, perturbed, included)]], schema=SAMPLED)
 
 
-def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``GROUP`` characters; a longer text is a run of its own."""
+def groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``GROUP`` bytes, each with its first place; a longer text is a run of its own. Only a
+    run's texts are Python's at a time; null is as empty."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > GROUP:
-            yield lo, i
+    for i, n in enumerate([*sizes, GROUP]):
+        if i > lo and (size + n > GROUP or i == len(sizes)):
+            yield lo, [t or "" for t in texts.slice(lo, i - lo).to_pylist()]
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
 
 
 def sample_pieces(docs: DataFrame, row_id: Column, text: Column, model: bytes, k: int = 2, seed: int = 0) -> DataFrame:
@@ -475,10 +476,9 @@ def sample_pieces(docs: DataFrame, row_id: Column, text: Column, model: bytes, k
         lat = lattices_of(sent.value)
         vocabulary = lat.vocabulary
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = np.array([row_key(i, seed) for i in batch.column(0).to_pylist()], np.uint64)
-            for lo, hi in groups(texts):
-                index, found = sample_texts(vocabulary, lat, texts[lo:hi], keys[lo:hi], k)
+            for lo, texts in groups(batch.column(1)):
+                index, found = sample_texts(vocabulary, lat, texts, keys[lo : lo + len(texts)], k)
                 rows = pa.table([batch.column(0).take(pa.array(index + lo)), *found.columns], names=["row_id", *SAMPLED.names])
                 yield from rows.combine_chunks().to_batches()
 
@@ -494,9 +494,8 @@ def encode(docs: DataFrame, row_id: Column, text: Column, model: bytes) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in groups(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sp.encode(texts[lo:hi], num_threads=1), pa.list_(pa.int32()))], ["row_id", "ids"])
+            for lo, texts in groups(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(sp.encode(texts, num_threads=1), pa.list_(pa.int32()))], ["row_id", "ids"])
 
     return given.mapInArrow(scan, f"row_id {given.schema['row_id'].dataType.simpleString()}, ids array<int>")
 

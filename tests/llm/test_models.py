@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +291,21 @@ def test_sampling_without_replacement():
     assert [r["sample"] for r in few].count(1) == 2 and few[0]["log_inclusion"] == 0.0
 
 
+def test_sampling_memory_is_bounded():
+    """A million characters of words that are all different: a worker that took all at once would need over 200 MB."""
+    v = pieces.Vocabulary(queries.model_bytes())
+    lat = pieces.Lattices(v)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 12))) for _ in range(600)) for _ in range(190)]
+    tracemalloc.start()
+    rows = 0
+    for lo, group in pieces.groups(pa.array([*texts, None])):
+        rows += len(pieces.sample_texts(v, lat, group, np.arange(lo, lo + len(group), dtype=np.uint64), 2)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2 * len(texts) + 1 and peak < 120e6, peak
+
+
 @pytest.mark.parametrize("at", range(5))
 def test_stages_on_odd_and_empty_tables(spark, odd, none, at):
     """Every stage takes nulls, repeated ids, no rows, and columns named like its own; all but the last keep the columns."""
