@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +28,16 @@ _RNG = np.random.default_rng(20240229)
 _STEP = _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _RNG.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, SKETCHES, dtype=np.uint64)
-#: Members of a sketch, outside its largest class, that face all others one by one rather than by their rarest words.
+#: Members of a sketch, outside its largest class, that face all others one by one rather than by their words.
 MINORS = 12
 #: Ids that are sent to the texts rather than dealt with them; pairs of one leader that one task aligns.
 FEW, ALIGNED = 50_000, 500
-#: Bins that words are counted in, and the 64-bit columns that hold the parities of a text's words.
-BINS, LANES = 1 << 20, [f"s{i}" for i in range(8)]
-#: So many words of a text call for one more word in common with a text it aligns to.
-STRONG = 20
+#: The 64-bit columns that hold the parities of a text's words; bins of the finer parities that crowded texts have.
+LANES, BITS = [f"s{i}" for i in range(8)], 4096
+#: Bands of a crowded text's words, hashes of a band, and texts of a band that one task takes on either side.
+BANDS, BAND_ROWS, BLOCK = 48, 3, 1024
+_BAND = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SHIFT = _RNG.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64)
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -298,8 +301,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two texts are linked if the alignment of their words reaches ``least``; classes are connected by links. Candidates
     share one of ``SKETCHES`` sketches. First the least id of each sketch faces the others. Where a sketch then still
     holds several classes, members outside its largest one face all others, if they are few. If they are many, as with
-    a passage that dissimilar texts share, its members meet by their rarest words (``_face_by_words``), which misses no
-    pair of them that aligns either. All of it are joins that can be split; no sketch is gathered in one task, and none
+    a passage that dissimilar texts share, its members meet by their words (``_face_by_words``), which misses a pair of
+    them that aligns with a chance of 5e-8 at most. All of it are joins that can be split; no sketch is gathered in one task, and none
     is dropped or capped. What is missed are pairs without a sketch in common: see ``SKETCHES``.
 
     Rows of one id are one document. Texts without words (null, empty, punctuation) are alone in their class, rows
@@ -333,64 +336,106 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return keep(settle(found, "classes"))
 
 
-def _facing(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of two classes that have enough keys in common and may align."""
-    x = rows.where("not main").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), "n", *LANES)
-    y = rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main", *[F.col(k).alias(f"_{k}") for k in ("n", *LANES)])
-    met = x.join(y, "key").where(F.expr("ca <> cb and (main or a < b)") & may_align(least))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.floor(F.least("n", "_n") / STRONG) + 1).alias("k"))
-    return met.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("keys")).where("keys >= k").select("a", "b")
+def word_bands(x: np.ndarray) -> np.ndarray:
+    """A key for each band of the labelled words ``x``: their least ones under ``BAND_ROWS`` hashes."""
+    least = np.empty(len(_BAND), np.uint64)
+    step = len(least) if len(x) < 4096 else 8
+    for i in range(0, len(least), step):
+        least[i : i + step] = (x[None, :] * _BAND[i : i + step, None] + _BAND_SHIFT[i : i + step, None]).min(1)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for m in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix(keys * np.uint64(3) + m)
+    return keys
+
+
+def meetings(group: np.ndarray, x_side: np.ndarray, y_side: np.ndarray, band: int, c: np.ndarray, n: np.ndarray, bits: np.ndarray, keys: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of ``group`` on the x side those on the y side (later ones, if a row is on both) of another class that
+    it may align to and has no earlier band in common with."""
+    same = x_side is y_side
+    x, y = group[x_side], group[y_side]
+    for at, i in enumerate(x.tolist()):
+        j = y[at + 1 :] if same else y
+        longer, shorter = np.maximum(n[j], n[i]), np.minimum(n[j], n[i])
+        spare = 2 * np.floor(longer * (1 - least) + 1e-9).astype(np.int64) - (longer - shorter)
+        near = (c[j] != c[i]) & (longer - shorter <= spare)
+        j, spare = j[near], spare[near]
+        if len(j):
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= spare]
+            if band and len(j):
+                j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+            if len(j):
+                yield i, j
 
 
 def _face_by_words(crowd: DataFrame, classes: _Classes) -> None:
     """Align every two texts of ``crowd`` (``rep``, ``c``: its class) of two classes that can reach the similarity asked for.
 
-    A text of n words may lose ``most``, a share of n; a pair that aligns has all but ``most`` words of the longer one
-    in common, repetitions told apart. So, whatever order all words are put in, the two have ``k`` words in common among
-    their first ``most + k``; ``k`` is 1, and 1 more for each ``STRONG`` words of the shorter text. Words of one class alone go first, and are left out: they join no two classes. Rare words
-    follow; words of one bin count as one in both respects, which is only a matter of speed. Of the pairs that meet at
-    a word, those go that ``may_align`` rules out.
+    A pair that aligns to 0.8 has two thirds of its labelled words in common, so it shares one of ``BANDS`` bands of
+    ``BAND_ROWS`` least words but for a chance of 5e-8. Texts of a band that several classes hold are compared by
+    their lengths and the parities of their words in ``BITS`` bins, which rule out no pair that aligns. A pair comes
+    out once, at the first band that it shares, and only if it may align: what is written follows the pairs to be
+    aligned, not the square of a band. A band of more than ``BLOCK`` texts is dealt to a task for every two blocks of it.
     """
-    lose = 1 - classes.least
     crowd, n = packed(crowd, "crowd")
     if not n:
         return
-    texts = settle(classes.texts.join(_sent(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), n), "id").select("id", "text", "c", "n", *LANES), "crowded")
+    least, kind = classes.least, classes.texts.schema["id"].dataType.simpleString()
+    texts = classes.texts.join(_sent(crowd.select(F.col("rep").alias("id"), F.xxhash64("c").alias("c")), n), "id").select("id", "text", "c", "n")
 
-    def bins_of(x: np.ndarray) -> np.ndarray:
-        return (x & np.uint64(BINS - 1)).astype(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lo, hi = np.zeros(BINS, np.int64), np.full(BINS, np.iinfo(np.int64).max), np.full(BINS, np.iinfo(np.int64).min)
-        for batch in batches:
-            for x, c in zip(labelled_words(batch.column(0)), batch.column(1).to_pylist()):
-                b = bins_of(x)
-                np.add.at(total, b, 1)
-                lo[b], hi[b] = np.minimum(lo[b], c), np.maximum(hi[b], c)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there]), pa.array(lo[there]), pa.array(hi[there])], ["bin", "n", "lo", "hi"])
-
-    counted = texts.select("text", "c").mapInArrow(count, "bin int, n bigint, lo bigint, hi bigint").groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counted = counted.where("lo < hi").select("bin", F.least("n", F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")).toArrow()
-    held = np.zeros(BINS, np.int32)  # 0: of one class alone
-    held[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
-    sent = texts.sparkSession.sparkContext.broadcast(held)
-
-    def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = []
+            bits, keys = [], []
             for x in labelled_words(batch.column(1)):
-                rank = common[bins_of(x)]
-                order = np.lexsort((x, rank))[: int(len(x) * lose + 1e-9) + 1 + len(x) // STRONG]
-                first.append(x[order[rank[order] > 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(first, pa.list_(pa.int64()))], ["rep", "n", *LANES, "first"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    read = settle(texts.drop("c").mapInArrow(first_words, f"rep {kind}, n int, {', '.join(f'{s} bigint' for s in LANES)}, first array<bigint>"), "words")
-    rows, n = _mixed(read.join(crowd, "rep").select("rep", "c", "n", *LANES, F.explode("first").alias("key")))
-    if n:
-        classes.face(_facing(rows, classes.least))
+                bits.append(np.packbits((np.bincount((x >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes())
+                keys.append(word_bands(x).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "c", "n", "bits", "bands"])
+
+    marked = settle(texts.mapInArrow(mark, f"id {kind}, c bigint, n int, bits binary, bands array<bigint>"), "crowded")
+    rows = marked.select("id", "c", F.posexplode("bands").alias("band", "key"))
+    held = packed(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "held")[0]
+    parts: dict[int, list[int]] = {}
+    for r in held.where(F.col("n") > BLOCK).collect():
+        parts.setdefault(-(-r["n"] // BLOCK), []).append(r["key"])
+    met = packed(rows.select("id", "band", "key").join(held.select("key"), "key", "left_semi"), "met")[0]
+    large = F.col("key").isin([k for ks in parts.values() for k in ks])
+    dealt = met.where(~large).select("id", "band", "key", F.lit(0).alias("own"), F.lit(0).alias("other"))
+    for many, ks in sorted(parts.items()):
+        split = met.where(F.col("key").isin(ks)).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+        dealt = dealt.unionByName(split.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))))
+    dealt = dealt.join(marked, "id").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select("key", "i", "j", "own", "band", "id", "c", "n", "bits", "bands").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, own, band, c, n = (table.column(k).to_numpy() for k in ("key", "i", "j", "own", "band", "c", "n"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+        bands = pc.list_flatten(table.column("bands")).to_numpy().reshape(len(key), -1)
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        a, b = [], []
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+            x_side = own[lo:hi] == i[lo]
+            y_side = x_side if i[lo] == j[lo] else ~x_side
+            for p, q in meetings(np.arange(lo, hi), x_side, y_side, int(band[lo]), c, n.astype(np.int64), bits, bands, least):
+                a.append(np.full(len(q), p))
+                b.append(q)
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        ids = table.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the groups that have ended; rows of the last group wait for the next batch."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            key, i, j = (table.column(k).to_numpy() for k in ("key", "i", "j"))
+            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if len(key) else []
+            end = int(other[-1]) + 1 if len(other) else 0
+            if end:
+                yield pairs_of(table.slice(0, end).combine_chunks())
+            rest = table.slice(end)
+        if rest is not None and len(rest):
+            yield pairs_of(rest.combine_chunks())
+
+    classes.face(dealt.mapInArrow(meet, f"a {kind}, b {kind}"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from tessera.llm.tokens import MARK, load
 #: Log-weight of a piece for each point of its score: ranks of some thousands part likely from unlikely pieces.
 ALPHA = 1 / 2000
 #: Characters walked together, and nodes of remembered lattices. Both bound a worker's memory; larger ones were no faster.
-GROUP, NODES = 120_000, 400_000
+GROUP, NODES = 120_000, 800_000
 #: Hypotheses this far, in log-mass, below a sibling are not drawn: their chance to matter is below 1e-25.
 FAR = 60.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -210,6 +210,37 @@ def test_near_duplicates_in_a_crowd(spark):
     assert all(got[i] == got[i + 1] == i for i in met) and all(got[i] == i for i in range(0, len(rows), 2))
 
 
+def rows_of_joins(spark, after):
+    """The most rows that a join of the queries after that number has made, and the number of queries so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for e in (runs.apply(i) for i in range(after, runs.size())):
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, runs.size()
+
+
+def test_a_crowd_makes_few_rows(spark, monkeypatch):
+    """300 texts share one line 40 times, with 0.78 of their words the same: no two of them are near, which 45,000
+    pairs must be told; two rewritten ones are found. Blocks are small, so that bands are dealt to several tasks."""
+    rng = random.Random(4)
+    line = "one two three four five six seven eight "
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    own = [rng.sample(vocabulary, 90) for _ in range(300)]
+    own += [["new"] * 9 + own[0][9:], own[1][:80] + ["old"] * 10]
+    docs = spark.createDataFrame([(i, line * 40 + " ".join(w)) for i, w in enumerate(own)], "doc_id long, text string")
+    monkeypatch.setattr(dedup, "BLOCK", 64)
+    before = rows_of_joins(spark, 0)[1]
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    assert got == {i: {300: 0, 301: 1}.get(i, i) for i in range(302)}
+    most, after = rows_of_joins(spark, before)
+    assert after > before and 0 < most < 302 * 302, most
+
+
 def test_sketches_find_pairs_near_the_threshold():
     """Of pairs of 200 words that align to 0.80 to 0.85, words changed at random places, nine in ten share a sketch."""
     rng = np.random.default_rng(12)
